@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadsift.functions.text import is_lower, let, lit_map, squeeze, title_case
+from leadsift.functions.text import any_of, is_lower, let, lit_map, squeeze, title_case
 from leadsift.rules import ACRONYMS, COMPANY_NAMES
 
 _EDGE = " -*|"
@@ -43,9 +43,15 @@ def _drop(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def fix_acronyms(text: Column) -> Column:
-    for word, fixed in ACRONYMS:
-        text = F.regexp_replace(text, rf"(?U)\b{word}\b", fixed)
-    return text
+    """Upper-case the known role acronyms left in title case."""
+
+    def fix(value: Column) -> Column:
+        fixed = value
+        for word, acronym in ACRONYMS:
+            fixed = F.regexp_replace(fixed, rf"(?U)\b{word}\b", acronym)
+        return F.when(any_of(value.contains(w) for w, _ in ACRONYMS), fixed).otherwise(value)
+
+    return let(text, fix)
 
 
 def normalize_company(name: Column) -> Column:
@@ -78,11 +84,22 @@ def normalize_title(title: Column) -> Column:
 
 
 def clean_title(title: Column) -> Column:
-    """Normalised title, reduced to its core role phrase when it has one."""
+    """Normalised title, reduced to its core role phrase when it has one.
+
+    A core phrase is made of plain words, so word-initial capitals and the two
+    acronyms it can hold are all the normalisation it needs.
+    """
+
+    def core_only(core: Column) -> Column:
+        words = F.initcap(core)
+        for word in ("Ai", "Ml"):
+            words = F.replace(words, F.lit(f"{word} "), F.lit(f"{word.upper()} "))
+        return words
+
     return let(
         normalize_title(title),
         lambda t: let(
             F.regexp_extract(t, CORE_TITLE, 1),
-            lambda core: F.when(core == "", t).otherwise(normalize_title(title_case(core))),
+            lambda core: F.when(core == "", t).otherwise(core_only(core)),
         ),
     )

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 _SPACES = r"\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = rf"[\s{_SPACES}]"
+BLANK = rf"[ \t\x0b\f\r{_SPACES}]"
 NWS = rf"[^\s{_SPACES}]"
 EOL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-URL = rf"https?://{NWS}+"
+# Printable ASCII first: the long runs of a URL then need one range test per character.
+URL = rf"https?://(?:[!-~]++|[^!-~\s{_SPACES}]++)++"
 
 
 def lit_array(values: Iterable[str]) -> Column:
@@ -37,8 +39,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def rx(text: Column, pattern: str, group: int = 1) -> Column:
-    """Regex group, NULL (not '') when the pattern does not match."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """Group of the first match, NULL (not '') when the pattern does not match.
+
+    The pattern is extended to swallow the rest of the text: one match, no second
+    evaluation to tell a miss from an empty group.
+    """
+    return F.get(
+        F.regexp_extract_all(text, F.lit(rf"(?:{pattern})[\s\S]*"), F.lit(group)), F.lit(0)
+    )
 
 
 def blank_to_null(text: Column) -> Column:
@@ -91,7 +99,9 @@ def hits(lowered: Column, labels: Mapping[str, str] | Iterable[str]) -> Column:
     """Ordered array of the labels whose word occurs in lower-cased text."""
     pairs = labels.items() if isinstance(labels, Mapping) else [(w, w) for w in labels]
     found = [F.when(lowered.contains(w), F.lit(label)) for w, label in pairs]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    if not found:
+        return F.array().cast("array<string>")
+    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
 
 
 def first_name(lowered: Column, names: Iterable[str]) -> Column:
@@ -108,8 +118,8 @@ def first_name(lowered: Column, names: Iterable[str]) -> Column:
 
 
 def is_lower(text: Column) -> Column:
-    """At least one lower-case letter and no upper- or title-case one."""
-    return text.rlike(r"\p{Ll}") & ~text.rlike(r"[\p{Lu}\p{Lt}]")
+    """Has letters and none of them is upper-case."""
+    return (F.lower(text) == text) & (F.upper(text) != text)
 
 
 def title_case(text: Column) -> Column:
@@ -141,29 +151,29 @@ def preview(text: Column, size: int) -> Column:
 def sections(text: Column, headers: Iterable[str], stops: Iterable[str]) -> Column:
     """Text of the sections opened by a header line and closed by a stop line.
 
-    Header and stop lines are replaced by control marks, so that one linear regex
-    pass collects all sections of a text of any length.
+    Header and stop lines become control marks, so that one linear regex pass
+    collects all sections of a text of any length. Lines are trimmed.
     """
     opened, closed = "\x01", "\x02"
-    clean = F.translate(text, opened + closed, "  ")
-
-    def mark(line: Column) -> Column:
-        low = F.lower(line)
-        return (
-            F.when(low.isin(*headers), F.lit(opened))
-            .when(low.isin(*stops), F.lit(closed))
-            .otherwise(line)
-        )
 
-    marked = F.array_join(
-        F.concat(F.transform(lines(clean), lambda x: let(strip(x), mark)), F.array(F.lit(closed))),
-        "\n",
+    def whole_line(words: Iterable[str]) -> str:
+        return rf"(?iumd)^{BLANK}*(?:{'|'.join(words)}){BLANK}*$"
+
+    marked = F.when(
+        has_any(text, (opened, closed)), F.translate(text, opened + closed, "  ")
+    ).otherwise(text)
+    marked = F.regexp_replace(marked, whole_line(headers), opened)
+    marked = F.regexp_replace(marked, whole_line(stops), closed)
+    groups = F.regexp_extract_all(
+        F.concat(marked, F.lit("\n" + closed)), F.lit(f"{opened}([^{opened}{closed}]*)"), F.lit(1)
     )
-    groups = F.regexp_extract_all(marked, F.lit(f"{opened}([^{opened}{closed}]*)"), F.lit(1))
+    kept = F.filter(groups, lambda g: g != "\n")
     return F.array_join(
         F.transform(
-            F.filter(groups, lambda g: g != "\n"),
-            lambda g: F.substring(g, F.lit(2), F.length(g) - 2),
+            kept,
+            lambda g: F.array_join(
+                F.transform(F.split(F.substring(g, F.lit(2), F.length(g) - 2), "\n"), strip), "\n"
+            ),
         ),
         "\n",
     )

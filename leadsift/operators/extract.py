@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leadsift.functions import dates
 from leadsift.functions.names import clean_title, normalize_company
 from leadsift.functions.text import (
+    BLANK,
     NWS,
     URL,
     WS,
@@ -49,7 +50,6 @@ FIELDS = (
 # ---------------------------------------------------------------------------
 # Patterns of message wording.
 # ---------------------------------------------------------------------------
-BLANK = rf"[{WS}&&[^\n]]"
 CARD_URL = rf"(?iu)https?://{NWS}*linkedin\.com/{NWS}*jobs/view/{NWS}*"
 HIRING = rf"(?iud)we(?:'re| are) hiring (?:a |an )?(.+?)(?: on| for|\.|\n)"
 _ROLE = (
@@ -107,7 +107,7 @@ def labelled(text: Column, lowered: Column, label: str) -> Column:
 
 
 def first_url(text: Column) -> Column:
-    return F.rtrim(F.regexp_substr(text, F.lit(URL)), F.lit(").,"))
+    return F.rtrim(rx(text, f"({URL})"), F.lit(").,"))
 
 
 def work_mode(lowered: Column) -> Column:
