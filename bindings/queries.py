@@ -82,12 +82,8 @@ _ALLOW = r.RulePack(allowed_senders=(" Friend@ ", "", "ana <"))
     ),
 )
 def allowed_senders(spark, sf):
-    fields = F.col("subject"), F.col("sender"), F.col("body")
-    return (
-        alerts(spark, sf)
-        .filter(relevance.is_relevant(*fields, _ALLOW) & ~relevance.is_relevant(*fields))
-        .select("source_id")
-    )
+    newly = relevance.is_relevant(_ALLOW) & ~relevance.is_relevant()
+    return alerts(spark, sf).filter(newly).select("source_id")
 
 
 _TOKENS = f"SELECT {rel.pick('n_nationkey % 5', *rel.q('Friend@', 'acme', ' ana ', 'zzz', ''))} AS token FROM {{nation}}"

@@ -7,11 +7,13 @@ not share repeated sub-expressions inside CASE branches or filters.
 
 from __future__ import annotations
 
+import functools
 import operator
 import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +27,26 @@ WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 URL = rf"https?://(?:[!-~]++|[^!-~\s{_SPACES}]++)++"
 
 
-def lit_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def column_cache(build):
+    """Keep the columns built for hashable arguments.
+
+    Columns name their inputs only, so one built expression serves any number of
+    DataFrames; building a large one costs thousands of driver calls.
+    """
+    built: dict = {}
+
+    @functools.wraps(build)
+    def cached(*args):
+        key = (id(SparkContext._jvm), *args)
+        try:
+            hash(key)
+        except TypeError:
+            return build(*args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return cached
 
 
 def lit_map(mapping: Mapping[str, str]) -> Column:
@@ -86,8 +106,25 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(operator.or_, conditions, F.lit(False))
 
 
-def has_any(lowered: Column, words: Iterable[str]) -> Column:
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def any_sql(name: str, words: Iterable[str]) -> str:
+    """SQL test for any word inside the lower-cased text ``name``.
+
+    Long word lists are written as SQL text: one driver call instead of several
+    per word.
+    """
+    return " OR ".join(f"contains({name}, {sql_text(w)})" for w in words) or "false"
+
+
+def has_any(lowered: Column | str, words: Iterable[str]) -> Column:
     """True when any word is a substring of already lower-cased text."""
+    if isinstance(lowered, str):
+        return F.expr(any_sql(lowered, words))
     return any_of([lowered.contains(w) for w in words])
 
 
@@ -95,26 +132,25 @@ def count_hits(lowered: Column, words: Iterable[str]) -> Column:
     return reduce(operator.add, [lowered.contains(w).cast("int") for w in words], F.lit(0))
 
 
-def hits(lowered: Column, labels: Mapping[str, str] | Iterable[str]) -> Column:
-    """Ordered array of the labels whose word occurs in lower-cased text."""
+def hits(lowered: str, labels: Mapping[str, str] | Iterable[str]) -> Column:
+    """Ordered array of the labels whose word occurs in the lower-cased column."""
     pairs = labels.items() if isinstance(labels, Mapping) else [(w, w) for w in labels]
-    found = [F.when(lowered.contains(w), F.lit(label)) for w, label in pairs]
-    if not found:
-        return F.array().cast("array<string>")
-    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
+    found = ", ".join(
+        f"CASE WHEN contains({lowered}, {sql_text(w)}) THEN {sql_text(label)} END" for w, label in pairs
+    )
+    return F.expr(f"array_except(array({found or 'CAST(NULL AS STRING)'}), array(CAST(NULL AS STRING)))")
 
 
-def first_name(lowered: Column, names: Iterable[str]) -> Column:
+def first_name(lowered: str, names: Iterable[str]) -> Column:
     """First configured name present with no letter or digit touching it."""
-    tests = [
-        F.when(
-            lowered.contains(n)
-            & lowered.rlike(rf"(?<![a-z0-9]){re.escape(n)}(?![a-z0-9])"),
-            F.lit(n),
-        )
-        for n in names
-    ]
-    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
+
+    def test(name: str) -> str:
+        alone = sql_text(rf"(?<![a-z0-9]){re.escape(name)}(?![a-z0-9])")
+        word = sql_text(name)
+        return f"CASE WHEN contains({lowered}, {word}) AND {lowered} RLIKE {alone} THEN {word} END"
+
+    tests = [*[test(n) for n in names], "CAST(NULL AS STRING)"]
+    return F.expr(f"coalesce({', '.join(tests)})")
 
 
 def is_lower(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadsift.functions.names import normalize_company, normalize_title
-from leadsift.functions.text import squeeze
+from leadsift.functions.text import column_cache, squeeze
 
 IDENTITY = ("company", "title", "location", "job_link")
 
@@ -18,6 +18,7 @@ def identity_key(*columns: str) -> list[Column]:
     return [squeeze(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in columns or IDENTITY]
 
 
+@column_cache
 def fingerprint() -> Column:
     """sha-256 over the identity of the normalised posting."""
     named = [

@@ -20,6 +20,7 @@ from leadsift.functions.text import (
     WS,
     any_of,
     blank_to_null,
+    column_cache,
     has_any,
     hits,
     let,
@@ -72,6 +73,9 @@ SUBJECT_TRIMS = (
     rf"(?iu)^new jobs similar to{WS}+",
     rf"(?iu)^(?:{WS}*(?:new job|message replied|re|fw|fwd){WS}*:{WS}*)+",
 )
+# Card lines are short, so their word lists are compiled into one pattern each.
+_CARD_NOISE = "^(?:" + "|".join(CARD_NOISE_LINES) + ")$|" + "|".join(CARD_NOISE_PARTS)
+_CARD_ROLE = "|".join(CARD_ROLE_TERMS)
 PLACE_WORDS = (
     r"(?U)\b(?:remote|hybrid|on-site|onsite|canada|united states|toronto|vancouver|montreal|ontario)\b"
 )
@@ -135,7 +139,7 @@ def seniority(title_low: Column, text_low: Column) -> Column:
     )
 
 
-def skill_hits(lowered: Column, rules: RulePack = DEFAULT_RULES) -> Column:
+def skill_hits(lowered: str, rules: RulePack = DEFAULT_RULES) -> Column:
     return hits(lowered, rules.skill_labels())
 
 
@@ -236,9 +240,7 @@ def card_line(line: Column) -> Column:
 
 
 def is_card_noise(line: Column) -> Column:
-    return let(
-        F.lower(line), lambda x: x.isin(*CARD_NOISE_LINES) | has_any(x, CARD_NOISE_PARTS)
-    )
+    return F.lower(line).rlike(_CARD_NOISE)
 
 
 def strip_card_suffix(line: Column) -> Column:
@@ -250,7 +252,7 @@ def strip_card_suffix(line: Column) -> Column:
 def is_card_title(line: Column) -> Column:
     return let(
         strip_card_suffix(line),
-        lambda x: (x != "") & ~is_card_noise(x) & has_any(F.lower(x), CARD_ROLE_TERMS),
+        lambda x: F.lower(x).rlike(_CARD_ROLE) & ~is_card_noise(x),
     )
 
 
@@ -372,40 +374,32 @@ def message_cards(body: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Operator
 # ---------------------------------------------------------------------------
-def extract(
-    messages: DataFrame, as_of: Column | dt.datetime | str, rules: RulePack = DEFAULT_RULES
-) -> DataFrame:
-    """Messages (source_id, msg_seq, subject, sender, received_at, body) -> postings.
-
-    Output: source_id, msg_seq, card_idx and the twelve posting fields. No shuffle.
-    """
-    now = dates.timestamp(as_of)
-    body = F.coalesce(F.col("body"), F.lit(""))
-    subject = F.coalesce(F.col("subject"), F.lit(""))
-    sender = F.coalesce(F.col("sender"), F.lit(""))
+@column_cache
+def _card_column(as_of) -> list[Column]:
+    """Message-level columns: core subject, expiry, one struct per posting."""
     null = F.lit(None).cast("string")
     whole = F.array(
         F.struct(
             F.lit(0).alias("card_idx"), null.alias("url"), null.alias("title"),
             null.alias("company"), F.lit(None).cast("array<string>").alias("lines"),
-            body.alias("text"),
-        )
-    )
-    cards = (
-        messages.select(
-            "source_id", "msg_seq", "received_at",
-            subject.alias("subject"), sender.alias("sender"), body.alias("body"),
-        )
-        .withColumn("digest", is_digest(F.col("subject"), F.col("sender"), F.col("body")))
-        .select(
-            "source_id", "msg_seq", "received_at", "sender", "digest",
-            subject_core(F.col("subject")).alias("subject"),
-            dates.is_expired(F.col("subject"), F.col("body"), now).alias("is_expired"),
-            F.explode(F.when(F.col("digest"), message_cards(F.col("body"))).otherwise(whole)).alias("card"),
+            F.col("body").alias("text"),
         )
     )
-    text, low = F.col("card.text"), F.col("low")
-    digest = F.col("digest")
+    return [
+        subject_core(F.col("subject")).alias("subject"),
+        dates.is_expired(F.col("subject"), F.col("body"), dates.timestamp(as_of)).alias("is_expired"),
+        F.explode(F.when(F.col("digest"), message_cards(F.col("body"))).otherwise(whole)).alias("card"),
+    ]
+
+
+@column_cache
+def _name_column() -> Column:
+    """Title and company of a posting, dropped when it names neither.
+
+    Dropping inside the array keeps the two cascades from being evaluated a
+    second time by a pushed-down filter.
+    """
+    text, low, digest = F.col("card.text"), F.col("low"), F.col("digest")
     found = F.struct(
         F.when(digest, F.col("card.title"))
         .otherwise(posting_title(F.col("subject"), text, low))
@@ -414,35 +408,20 @@ def extract(
         .otherwise(posting_company(F.col("subject"), F.col("sender"), text, low))
         .alias("company"),
     )
-    # A message that names neither role nor company is not a posting. Dropping it
-    # inside the array keeps the two cascades from being evaluated a second time
-    # by a pushed-down filter.
-    named = cards.withColumn("low", F.lower("card.text")).select(
-        "*",
-        F.inline(
-            F.filter(
-                F.array(found),
-                lambda x: (F.coalesce(x["title"], F.lit("")) != "") | (x["company"] != "Unknown"),
-            )
-        ),
-    )
-    typed = named.select(
-        "*",
-        skill_hits(low, rules).alias("all_skills"),
-        let(
-            preferred_text(text, low),
-            lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(
-                let(F.lower(p), lambda x: skill_hits(x, rules))
-            ),
-        ).alias("liked_skills"),
-        F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown role")).alias("role"),
+    return F.inline(
+        F.filter(
+            F.array(found),
+            lambda x: (F.coalesce(x["title"], F.lit("")) != "") | (x["company"] != "Unknown"),
+        )
     )
-    return typed.select(
-        "source_id",
-        "msg_seq",
-        F.col("card.card_idx").alias("card_idx"),
-        "company",
-        F.col("role").alias("title"),
+
+
+@column_cache
+def _field_columns(as_of) -> list[Column]:
+    """The remaining posting fields over the posting's own text."""
+    text, low, digest = F.col("card.text"), F.col("low"), F.col("digest")
+    now = dates.timestamp(as_of)
+    return [
         F.when(digest, card_place(F.col("card.lines")))
         .otherwise(labelled(text, low, "Location"))
         .alias("location"),
@@ -461,5 +440,40 @@ def extract(
         )
         .otherwise(dates.posting_age(text, F.col("received_at"), now))
         .alias("posted_date"),
-        "is_expired",
+    ]
+
+
+def extract(
+    messages: DataFrame, as_of: Column | dt.datetime | str, rules: RulePack = DEFAULT_RULES
+) -> DataFrame:
+    """Messages (source_id, msg_seq, subject, sender, received_at, body) -> postings.
+
+    Output: source_id, msg_seq, card_idx and the twelve posting fields. No shuffle.
+    """
+    plain = messages.select(
+        "source_id", "msg_seq", "received_at",
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("subject", "sender", "body")],
+    )
+    cards = plain.select(
+        "*", is_digest(F.col("subject"), F.col("sender"), F.col("body")).alias("digest")
+    ).select("source_id", "msg_seq", "received_at", "sender", "digest", *_card_column(as_of))
+    typed = (
+        cards.select("*", F.lower("card.text").alias("low"))
+        .select("*", _name_column())
+        .select(
+            "*",
+            F.expr("CASE WHEN coalesce(title, '') = '' THEN 'Unknown role' ELSE title END AS role"),
+            F.lower(preferred_text(F.col("card.text"), F.col("low"))).alias("liked"),
+        )
+        .select(
+            "*",
+            skill_hits("low", rules).alias("all_skills"),
+            F.when(F.col("liked") == "", F.array().cast("array<string>"))
+            .otherwise(skill_hits("liked", rules))
+            .alias("liked_skills"),
+        )
+    )
+    return typed.select(
+        "source_id", "msg_seq", F.col("card.card_idx").alias("card_idx"), "company",
+        F.col("role").alias("title"), *_field_columns(as_of), "is_expired",
     )

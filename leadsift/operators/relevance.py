@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsift.functions.text import has_any, let
+from leadsift.functions.text import any_sql, has_any, let
 from leadsift.rules import (
     DEFAULT_RULES,
     NOISE_MARKERS,
@@ -18,25 +18,25 @@ from leadsift.rules import (
 
 
 def is_relevant(
-    subject: Column, sender: Column, body: Column, rules: RulePack = DEFAULT_RULES
+    rules: RulePack = DEFAULT_RULES,
+    subject: str = "subject", sender: str = "sender", body: str = "body",
 ) -> Column:
-    """Noise words lose; then allowed senders, sender markers and text markers win."""
-    text = F.concat(
-        F.lower(F.coalesce(subject, F.lit(""))),
-        F.lit("\n"),
-        F.lower(F.left(F.coalesce(body, F.lit("")), F.lit(RELEVANCE_SCAN_CHARS))),
-    )
-    known = let(
-        F.lower(F.coalesce(sender, F.lit(""))),
-        lambda s: has_any(s, rules.sender_tokens()) | has_any(s, SENDER_MARKERS),
+    """Noise words lose; then allowed senders, sender markers and text markers win.
+
+    The texts are bound once by a lambda: a filter does not share sub-expressions.
+    """
+    text = (
+        f"concat(lower(coalesce({subject}, '')), '\\n', "
+        f"lower(left(coalesce({body}, ''), {RELEVANCE_SCAN_CHARS})))"
     )
-    return let(text, lambda t: ~has_any(t, NOISE_MARKERS) & (known | has_any(t, TEXT_MARKERS)))
+    known = any_sql("x.who", (*rules.sender_tokens(), *SENDER_MARKERS))
+    test = f"NOT ({any_sql('x.t', NOISE_MARKERS)}) AND ({known} OR {any_sql('x.t', TEXT_MARKERS)})"
+    texts = f"named_struct('t', {text}, 'who', lower(coalesce({sender}, '')))"
+    return F.expr(f"get(transform(array({texts}), x -> {test}), 0)")
 
 
 def relevant_messages(messages: DataFrame, rules: RulePack = DEFAULT_RULES) -> DataFrame:
-    return messages.filter(
-        is_relevant(F.col("subject"), F.col("sender"), F.col("body"), rules)
-    )
+    return messages.filter(is_relevant(rules))
 
 
 def headers_first(
@@ -47,9 +47,7 @@ def headers_first(
     ``headers`` and ``bodies`` share ``source_id``. A message whose headers look
     irrelevant is dropped whatever its body says.
     """
-    kept = headers.filter(
-        is_relevant(F.col("subject"), F.col("sender"), F.lit(""), rules)
-    )
+    kept = headers.filter(is_relevant(rules, body="''"))
     return relevant_messages(kept.join(bodies, "source_id"), rules)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leadsift.functions import dates, labels
 from leadsift.functions.money import max_salary
 from leadsift.functions.names import normalize_company, normalize_title
-from leadsift.functions.text import first_name, has_any, hits, lit_map
+from leadsift.functions.text import column_cache, first_name, has_any, hits, sql_text
 from leadsift.rules import (
     AI_FOCUS_TERMS,
     APPLY,
@@ -27,15 +27,23 @@ from leadsift.rules import (
     display_name,
 )
 
+# Components in explanation order.
+_COMPONENTS = (
+    "role", "location", "skills", "domain", "always", "tier", "strategic", "seniority",
+    "salary", "fresh", "penalty", "expired",
+)
 STALE_DAYS = 14
 FRESH_MINUTES = 120
 
 
+@column_cache
+def _normal_names() -> dict[str, Column]:
+    return {"company": normalize_company(F.col("company")), "title": normalize_title(F.col("title"))}
+
+
 def normalize_postings(df: DataFrame) -> DataFrame:
     """Normalised company and title, everything else untouched."""
-    return df.withColumns(
-        {"company": normalize_company(F.col("company")), "title": normalize_title(F.col("title"))}
-    )
+    return df.withColumns(_normal_names())
 
 
 def searchable_text() -> Column:
@@ -69,25 +77,24 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def _matches(df: DataFrame, rules: RulePack) -> DataFrame:
-    title, whole = F.col("_title"), F.col("_all")
     return df.select(
         "*",
-        first_name(whole, rules.never).alias("_never"),
-        first_name(whole, rules.always).alias("_always"),
-        F.array_join(hits(title, rules.role_terms), ", ").alias("_roles"),
-        hits(F.col("_skills"), rules.skill_terms).alias("_skill_hits"),
-        hits(F.col("_domain"), rules.domain_terms).alias("_domain_hits"),
-        first_name(F.col("_name"), rules.tier_a).alias("_a"),
-        first_name(F.col("_name"), rules.tier_b).alias("_b"),
-        first_name(F.col("_name"), rules.tier_c).alias("_c"),
-        first_name(whole, rules.ai_native).alias("_native"),
-        first_name(whole, rules.tier_c).alias("_c_any"),
-        has_any(title, TARGET_ROLE_TERMS).alias("_target"),
-        has_any(whole, AI_FOCUS_TERMS).alias("_focus"),
-        has_any(whole, HIGH_INTENT_TERMS).alias("_intent"),
-        has_any(whole, rules.strategic_terms).alias("_strategic"),
-        has_any(whole, rules.limited_terms).alias("_limited"),
-        (F.coalesce("is_expired", F.lit(False)) | F.coalesce(F.col("_days") >= STALE_DAYS, F.lit(False))).alias("_expired"),
+        first_name("_all", rules.never).alias("_never"),
+        first_name("_all", rules.always).alias("_always"),
+        F.array_join(hits("_title", rules.role_terms), ", ").alias("_roles"),
+        hits("_skills", rules.skill_terms).alias("_skill_hits"),
+        hits("_domain", rules.domain_terms).alias("_domain_hits"),
+        first_name("_name", rules.tier_a).alias("_a"),
+        first_name("_name", rules.tier_b).alias("_b"),
+        first_name("_name", rules.tier_c).alias("_c"),
+        first_name("_all", rules.ai_native).alias("_native"),
+        first_name("_all", rules.tier_c).alias("_c_any"),
+        has_any("_title", TARGET_ROLE_TERMS).alias("_target"),
+        has_any("_all", AI_FOCUS_TERMS).alias("_focus"),
+        has_any("_all", HIGH_INTENT_TERMS).alias("_intent"),
+        has_any("_all", rules.strategic_terms).alias("_strategic"),
+        has_any("_all", rules.limited_terms).alias("_limited"),
+        F.expr(f"coalesce(is_expired, false) OR coalesce(_days >= {STALE_DAYS}, false)").alias("_expired"),
     )
 
 
@@ -109,10 +116,12 @@ def _named(prefix: str, name: Column, rules: RulePack, suffix: str = "") -> Colu
     terms = {
         *rules.tier_a, *rules.tier_b, *rules.tier_c, *rules.always, *rules.never, *rules.ai_native,
     }
-    shown = F.try_element_at(lit_map({t: display_name(t) for t in sorted(terms)}), name)
+    pairs = ", ".join(f"{sql_text(t)}, {sql_text(display_name(t))}" for t in sorted(terms))
+    shown = F.try_element_at(F.expr(f"map({pairs})"), name)
     return F.concat(F.lit(prefix), shown, F.lit(suffix))
 
 
+@column_cache
 def _components(rules: RulePack) -> dict[str, Column]:
     col = F.col
     title, target, focus = col("_title"), col("_target"), col("_focus")
@@ -126,9 +135,9 @@ def _components(rules: RulePack) -> dict[str, Column]:
     return {
         "role": _cases(
             (col("_roles") != "", 30, F.concat(F.lit("strong role-title match: "), col("_roles"))),
-            (has_any(title, CORE_ROLE_TERMS), 28, "core role-family match"),
-            (has_any(title, ("machine learning", "ai")), 22, "partial role-title match"),
-            (has_any(title, ("analyst", "marketing")), 0, "role title is outside target roles"),
+            (has_any("_title", CORE_ROLE_TERMS), 28, "core role-family match"),
+            (has_any("_title", ("machine learning", "ai")), 22, "partial role-title match"),
+            (has_any("_title", ("analyst", "marketing")), 0, "role title is outside target roles"),
             (any_true, 8, "role title has limited target alignment"),
         ),
         "location": _cases((any_true, 20, "location not scored yet")),
@@ -247,26 +256,29 @@ def score_details(postings: DataFrame, rules: RulePack = DEFAULT_RULES) -> DataF
         *kept,
         F.col("_expired").alias("is_expired"),
         F.col("_never").alias("blacklisted"),
-        *[value.alias(f"c_{name}") for name, value in components.items()],
+        *[components[name].alias(f"c_{name}") for name in _COMPONENTS],
     )
 
 
 def score(postings: DataFrame, rules: RulePack = DEFAULT_RULES) -> DataFrame:
-    """Postings -> normalised postings with score, category and explanation."""
-    names = list(_components(rules))
-    details = score_details(postings, rules)
-    total = sum((F.col(f"c_{n}.points") for n in names), F.lit(0))
+    """Postings -> normalised postings with score, category and explanation.
+
+    The result struct is unpacked by ``inline``: a later filter on score or
+    category then reads the value instead of re-deriving the whole rubric.
+    """
+    parts = [f"c_{name}" for name in _COMPONENTS]
+    total = " + ".join(f"{p}.points" for p in parts)
     banned = F.col("blacklisted").isNotNull()
-    points = (
-        F.when(banned | F.col("is_expired"), 0)
-        .otherwise(F.greatest(F.lit(0), F.least(F.lit(100), total)))
-        .cast("int")
-    )
     why = F.when(
         banned, _named("company is on personal blacklist: ", F.col("blacklisted"), rules)
-    ).otherwise(F.concat_ws("; ", *[F.col(f"c_{n}.why") for n in names]))
-    scored = details.select(
-        *[F.col(c) for c in postings.columns], points.alias("score"), why.alias("explanation")
+    ).otherwise(F.concat_ws("; ", *[f"{p}.why" for p in parts]))
+    points = F.when(banned | F.col("is_expired"), 0).otherwise(
+        F.expr(f"greatest(0, least(100, {total}))")
+    )
+    scored = score_details(postings, rules).select(
+        *postings.columns,
+        F.inline(F.array(F.struct(points.cast("int").alias("score"), why.alias("explanation")))),
+    )
+    return scored.select(
+        *postings.columns, "score", category(F.col("score"), rules).alias("category"), "explanation"
     )
-    banned_or = scored.select("*", category(F.col("score"), rules).alias("category"))
-    return banned_or.select(*postings.columns, "score", "category", "explanation")

@@ -130,5 +130,5 @@ def load_mailboxes(
     """Newest messages whose headers look relevant, de-duplicated across mailboxes."""
     rank = mailbox_rank(labels, main)
     decoded = decode_messages(newest_per_mailbox(raw.filter(rank.isNotNull()), limit))
-    kept = decoded.filter(is_relevant(F.col("subject"), F.col("sender"), F.lit(""), rules))
+    kept = decoded.filter(is_relevant(rules, body="''"))
     return to_messages(kept, rank)
