@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsift.functions.text import let, lines, strip
+from leadsift.functions.text import EOL, lines, strip
 
 HEADER_LINES = 10
 MESSAGE_SCHEMA = (
@@ -30,7 +30,9 @@ def message_body(all_lines: Column) -> Column:
 def parse_message_text(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
     """(file name, whole text) rows -> messages ordered by file name."""
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
-    split = df.select(F.col(name), stem.alias("stem"), lines(F.col(text)).alias("parts"))
+    # A final line end closes the last line; it does not open an empty one.
+    closed = F.regexp_replace(F.col(text), rf"(?:{EOL})\z", "")
+    split = df.select(F.col(name), stem.alias("stem"), lines(closed).alias("parts"))
     parts = F.col("parts")
     return split.select(
         F.col("stem").alias("source_id"),
