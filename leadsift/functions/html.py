@@ -199,15 +199,14 @@ def json_ld_text(html: Column) -> Column:
 
 def container_text(html: Column, lowered: Column) -> Column:
     """Text of the first container that reads like a posting, NULL when none does."""
-
-    def attempt(kind: str, name: str) -> Column:
-        text = let(container_html(html, kind, name), visible_text)
-        guard = f"<{name}" if kind == "tag" else name
-        return F.when(
-            lowered.contains(guard), let(text, lambda t: F.when(looks_like_description(t), t))
+    present = [
+        F.when(
+            lowered.contains(f"<{name}" if kind == "tag" else name), container_html(html, kind, name)
         )
-
-    return F.coalesce(*[attempt(kind, name) for kind, name in CONTAINERS])
+        for kind, name in CONTAINERS
+    ]
+    texts = F.transform(F.filter(F.array(*present), lambda c: c.isNotNull()), visible_text)
+    return F.get(F.filter(texts, looks_like_description), F.lit(0))
 
 
 def main_content(html: Column) -> Column:
@@ -221,11 +220,14 @@ def page_text(html: Column, extractor: Callable[[Column], Column] | None = None)
 
     ``extractor`` replaces the main-content step: any Column function or pandas UDF.
     """
-    empty = F.lit("")
+
+    def unless_empty(text: Column) -> Column:
+        return let(text, lambda t: F.when(t != "", t))
+
     return F.coalesce(
-        F.nullif(json_ld_text(html), empty),
-        F.nullif(let(F.lower(html), lambda low: container_text(html, low)), empty),
-        F.nullif(paragraphs((extractor or main_content)(html)), empty),
+        unless_empty(json_ld_text(html)),
+        let(F.lower(html), lambda low: container_text(html, low)),
+        unless_empty(paragraphs((extractor or main_content)(html))),
         visible_text(html),
     )
 
