@@ -7,6 +7,7 @@ in DuckDB. Every relation covers its whole base tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = "2001-08-02 12:00:00"
 TABLES = (
@@ -47,7 +48,7 @@ _SKILLS = q(
 
 # Message parts that depend on the order key alone are spelled as CASE lists.
 _BASE = f"""
-  SELECT o_orderkey AS k, o_custkey, floor(o_totalprice) AS price, o_orderdate, c_name, n_name,
+  SELECT {{spread}} o_orderkey AS k, o_custkey, floor(o_totalprice) AS price, o_orderdate, c_name, n_name,
          {pick('(o_orderkey * 7 + o_custkey) % 12', *_TITLES)} AS t,
          {pick('o_custkey % 14', *_COMPANIES)} AS co,
          {pick('o_orderkey % 5', *_PLACES)} AS place
@@ -165,12 +166,12 @@ CARD_MAIL = f"""
          'Jobs for you' AS subject, 'LinkedIn <alerts@linkedin.com>' AS sender,
          CAST('2001-08-01 00:30:00' AS TIMESTAMP) AS received_at,
          {_card(0)} || '   ' || {NL} || {_card(1)} || {_card(2)} AS body
-  FROM {{orders}}
+  FROM (SELECT {{spread}} o_orderkey, o_custkey FROM {{orders}}) o
 """
 
 # One already scored sighting per lineitem.
 SIGHTINGS = f"""
-  SELECT l_orderkey * 8 + l_linenumber AS msg_seq, l_partkey * 1000 + l_suppkey AS card_idx,
+  SELECT {{spread}} l_orderkey * 8 + l_linenumber AS msg_seq, l_partkey * 1000 + l_suppkey AS card_idx,
          CAST(l_shipdate AS TIMESTAMP) AS seen_at,
          s_name AS company, p_brand || ' engineer' AS title,
          CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE '  Toronto   ON ' END AS location,
@@ -237,7 +238,7 @@ COMMANDS = f"""
 
 _WORDS = q("boards.greenhouse.io", "www.cohere.ai", "jobs.lever.co", "ca.indeed.com", "acme.example", "careers.shopify.com")
 SEARCH_HITS = f"""
-  SELECT CAST(l_partkey AS STRING) AS opportunity_key, CAST(l_linenumber % 4 AS INT) AS query_idx,
+  SELECT {{spread}} CAST(l_partkey AS STRING) AS opportunity_key, CAST(l_linenumber % 4 AS INT) AS query_idx,
          CAST((l_suppkey + l_partkey) % 3 AS INT) AS provider_rank,
          l_orderkey * 8 + l_linenumber AS result_idx,
          'https://' || {pick('(l_orderkey + l_linenumber) % 6', *_WORDS)} || {pick('l_suppkey % 5', *q('/careers/', '/jobs/applied-ai-engineer/', '/careers', '/blog/data-scientist;v=1/', '/Position/senior-ai/'))}
@@ -254,18 +255,39 @@ def _fill(sql: str, names: dict[str, str]) -> str:
     return sql
 
 
-def for_spark(sql: str, sf_dir: str) -> str:
+def _too_few_splits(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Cores to spread a table over when its files give fewer splits; 0 when they suffice."""
+    cores = spark.sparkContext.defaultParallelism
+    splits = spark.read.parquet(f"{sf_dir}/{name}.parquet").rdd.getNumPartitions()
+    return cores if splits < cores else 0
+
+
+def for_spark(spark: SparkSession, sql: str, sf_dir: str) -> str:
     names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return _fill(sql, names | {"hours": _STATE_HOURS["spark"]})
+    source = "lineitem" if "{lineitem}" in sql else "orders"
+    cores = _too_few_splits(spark, sf_dir, source) if "{spread}" in sql else 0
+    hint = f"/*+ REPARTITION({cores}) */" if cores else ""
+    return _fill(sql, names | {"hours": _STATE_HOURS["spark"], "spread": hint})
 
 
 def for_duck(sql: str) -> str:
-    return _fill(sql, {t: t for t in TABLES} | {"hours": _STATE_HOURS["duck"]})
+    return _fill(sql, {t: t for t in TABLES} | {"hours": _STATE_HOURS["duck"], "spread": ""})
 
 
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(for_spark(sql, sf_dir))
+    """A derived relation; built messages are fixed once per row.
+
+    Unpacking them from an array keeps a later filter from being pushed into the
+    long text expressions and evaluating them a second time.
+    """
+    df = spark.sql(for_spark(spark, sql, sf_dir))
+    if sql in (ALERTS, CARD_MAIL):
+        df = df.select(F.inline(F.array(F.struct(*df.columns))))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; one too small to split is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = _too_few_splits(spark, sf_dir, name) if name in ("documents", "pages") else 0
+    return df.repartition(cores) if cores else df
