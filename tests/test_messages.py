@@ -40,7 +40,8 @@ def test_filter_extract_dedupe_and_counts(messages):
     ]
     assert counts.summary() == {"loaded": 4, "filtered_out": 1, "parsed": 5, "duplicates": 1, "stored": 4}
     first = rows[0]
-    assert first.score == 100 and first.category == "Apply now"
+    # role 30, location 20, two skills 10, domain 8, staff 15, salary 10
+    assert first.score == 93 and first.category == "Apply now"
     assert first.explanation.startswith("strong role-title match: staff data scientist; location not scored yet")
 
 
