@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from leadsift.llm.common import table, utf8_bytes
 from leadsift.llm.decontaminate import decontamination
+from leadsift.llm.extraction import extracted
 from leadsift.llm.mixing import Mix
+from leadsift.llm.quality import quality
 from leadsift.llm.secrets import secret_spans
 from leadsift.llm.sharding import shuffled_shards
 from leadsift.llm.simhash import simhash_components
+from leadsift.llm.suffixes import repeated_strings
 from leadsift.llm.toxicity import toxicity
+from leadsift.llm.warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +90,52 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_repeated_strings")
+def repeated_strings_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"), 400).drop("removed")
+
+
+@query("op9_warc")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at"
+    )
+
+
+@query("op10_extraction")
+def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+_NORMAL = (
+    "trim(regexp_replace(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'),"
+    r" '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+)
+
+
+@query(
+    "op2_quality",
+    rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, source, t, line, {_NORMAL.format("line")} AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+busy AS (SELECT l.source, norm FROM l GROUP BY l.source, norm HAVING count(DISTINCT t) > greatest(20, 0.01 * (SELECT docs FROM hosts h WHERE h.source = l.source))),
+lost AS (SELECT doc_id, count(*) AS n, sum(words) AS words FROM l JOIN busy USING (source, norm) GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+x AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_lines,
+  CAST(len(w) - coalesce(lost.words, 0) AS BIGINT) AS left_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (left_words < 10 OR left_words < 0.3 * n_words) AS kept FROM x
+""",
+)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
