@@ -143,8 +143,8 @@ def main_text(page: str) -> str:
 
     Length and punctuation of all text outside links are added up by tag path and divided by the
     blocks of that path; both ratios are smoothed along the page, fused by their product and held
-    against a threshold. The container is the deepest one with most of the selected
-    text, and all its blocks outside menus, notices and the like are text, so that short
+    against a threshold. The container is the deepest one with most of the selected text (an
+    article or main element is not entered further), and all its blocks outside menus, notices and the like are text, so that short
     paragraphs stay.
     """
     root, blocks = blocks_of(page)
@@ -168,8 +168,8 @@ def main_text(page: str) -> str:
                 e.weight += size
                 e = e.parent
     node = root
-    while True:
-        best = max((c for c in node.children if c.tag in HOLDERS and not c.side), key=lambda c: c.weight, default=None)
+    while node.tag not in ("article", "main"):
+        best = max((c for c in node.children if c.tag in HOLDERS and c.tag != "section" and not c.side), key=lambda c: c.weight, default=None)
         if best is None or best.weight <= 0 or best.weight < SHARE * root.weight:
             break
         node = best
