@@ -39,12 +39,12 @@ def high_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
 
     One pass: a window's sum of n log n changes by two characters from one place to the next.
     """
-    cost = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
+    cost = [0.0] + [n * math.log2(n) for n in range(1, width + 2)]
     counts: dict[str, int] = {}
     total, found = 0.0, []
     for i, c in enumerate(s):
         n = counts.get(c, 0)
-        total += cost[n + 1] - cost[n] if n < width else 0.0
+        total += cost[n + 1] - cost[n]
         counts[c] = n + 1
         if i >= width:
             out = s[i - width]
