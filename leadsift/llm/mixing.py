@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadsift.llm.common import WORD, written
 
 #: Documents in one unit of the distributed running sum.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 #: Slots that one task spreads out.
 SLOT_RUN = 10_000
 ROUNDS = 12

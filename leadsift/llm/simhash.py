@@ -200,7 +200,8 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     """`docs` without the text, plus `fingerprint` (16 hex digits) and `component_id`.
 
     Documents link when their fingerprints differ in at most `most` bits; `component_id` is the
-    smallest key that a document reaches. Equal fingerprints are one node, whatever their number,
+    smallest key that a document reaches. A group's smallest key is written before it goes back to
+    the nodes, so a group of any size meets it in a join of two plain tables. Equal fingerprints are one node, whatever their number,
     and the index holds each fingerprint once under every choice of 4 of `most` + 4 bit ranges, so
     the rows of one key agree on those bits. Null keys take part but are never the smallest unless
     all are null; null and empty texts have fingerprint 0 and link with each other like any other;
@@ -210,9 +211,12 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     nodes = prints.groupBy("_bits").agg(F.min(key).alias("_least"))
     rows = nodes.select(F.explode(_block_keys(F.col("_bits"), most)).alias("_key"), F.col("_bits").alias("_id"), F.array("_bits").alias("_words"))
     labels = components(linked(rows, most).distinct())
-    groups = nodes.join(labels.withColumnRenamed("node", "_bits"), "_bits", "left").withColumn("_group", F.coalesce("label", "_bits"))
-    least = groups.groupBy("_group").agg(F.min("_least").alias("component_id"))
-    named = written(groups.select("_bits", "_group").join(least, "_group").select("_bits", "component_id"), "simhash-groups")
+    groups = written(
+        nodes.join(labels.withColumnRenamed("node", "_bits"), "_bits", "left").withColumn("_group", F.coalesce("label", "_bits")).drop("label"),
+        "simhash-groups",
+    )
+    least = written(groups.groupBy("_group").agg(F.min("_least").alias("component_id")), "simhash-least")
+    named = written(groups.select("_bits", "_group").join(least, "_group").select("_bits", "component_id"), "simhash-named")
     return prints.join(named, "_bits").select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in (text, "fingerprint", "component_id")],
         F.lower(F.lpad(F.hex("_bits"), 16, "0")).alias("fingerprint"),
@@ -276,11 +280,12 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 46, key: str = "doc
     )
     candidates = nodes.select(F.explode("_keys").alias("_key"), "_id", "_words")
     labels = components(linked(candidates, most, KEY_BLOCK).distinct())
-    groups = nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select(
-        "_words", "_first", F.coalesce("label", "_id").alias("_group")
+    groups = written(
+        nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select("_words", "_first", F.coalesce("label", "_id").alias("_group")),
+        "near-groups",
     )
-    stays = groups.groupBy("_group").agg(F.min("_first").alias("_stays"))
-    named = written(groups.select("_words", "_group").join(stays, "_group").select("_words", "_stays"), "near-groups")
+    stays = written(groups.groupBy("_group").agg(F.min("_first").alias("_stays")), "near-stays")
+    named = written(groups.select("_words", "_group").join(stays, "_group").select("_words", "_stays"), "near-named")
     verdict = prints.join(named, "_words").select(
         "_row", F.when(F.col("_stays.row") != F.col("_row"), F.col("_stays")).alias("_stays")
     )

@@ -15,7 +15,7 @@ from leadsift.llm.common import with_results
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that voters and classifier are fitted on, at most; chosen by hash of the id.
-FIT_ROWS = 5_000
+FIT_ROWS = 4_000
 #: Word prefixes that stand for a word whatever its ending.
 PREFIXES = (4, 5, 6)
 #: An entry: in so many toxic rows, in such a share of them, and so much oftener than elsewhere (log
