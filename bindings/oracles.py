@@ -15,7 +15,8 @@ def _with(*ctes: tuple[str, str], final: str) -> str:
 
 
 def relevant(rules: RulePack = DEFAULT_RULES, body: str = "body") -> str:
-    text = f"lower(subject) || chr(10) || lower(left({body}, 5000))"
+    scanned = body if rules.scan_chars is None else f"left({body}, {rules.scan_chars})"
+    text = f"lower(subject) || chr(10) || lower({scanned})"
     known = f"({d.any_in('lower(sender)', rules.sender_tokens())} OR {d.any_in('lower(sender)', r.SENDER_MARKERS)})"
     return d.let(text, "t", f"NOT {d.any_in('t', r.NOISE_MARKERS)} AND ({known} OR {d.any_in('t', r.TEXT_MARKERS)})")
 

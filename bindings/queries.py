@@ -71,6 +71,14 @@ def relevant_messages(spark, sf):
     return relevant(spark, sf).select("source_id", "subject")
 
 
+_SCAN = r.RulePack(scan_chars=5000)
+
+
+@query("relevant_in_5000_chars", o._with(("alerts", rel.ALERTS), final=f"SELECT source_id, subject FROM alerts WHERE {o.relevant(_SCAN)}"))
+def relevant_in_5000_chars(spark, sf):
+    return relevance.relevant_messages(alerts(spark, sf), _SCAN).select("source_id", "subject")
+
+
 _ALLOW = r.RulePack(allowed_senders=(" Friend@ ", "", "ana <"))
 
 

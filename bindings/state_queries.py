@@ -88,7 +88,15 @@ def upsert_small_batch(spark, sf):
     seen = sightings(spark, sf)
     early, late = seen.filter("seen_at < '1998-06-01'"), seen.filter("seen_at >= '1998-06-01'")
     first = st.upsert(st.empty_state(spark), early, seen_at="seen_at")
-    return upsert_view(st.merge_small_fold(first, st.fold_sightings(late, seen_at="seen_at")))
+    return upsert_view(st.merge_fold(first, st.fold_sightings(late, seen_at="seen_at")))
+
+
+@query("upsert_late_first", _UPSERT)
+def upsert_late_first(spark, sf):
+    seen = sightings(spark, sf)
+    early, late = seen.filter("seen_at < '1998-06-01'"), seen.filter("seen_at >= '1998-06-01'")
+    first = st.upsert(st.empty_state(spark), late, seen_at="seen_at")
+    return upsert_view(st.upsert(first, early, seen_at="seen_at"))
 
 
 # --- digests and lists -----------------------------------------------------------
@@ -403,7 +411,7 @@ def parsed_commands(spark, sf):
     o._with(
         _STATE, *_CMD,
         final=f"""SELECT update_id, CASE WHEN p.status IS NULL THEN {d.s(cmd.HELP)} WHEN s.id IS NULL THEN 'No job found with id ' || target || '.'
-          ELSE 'Updated #' || target || ' to ' || p.status || ': ' || s.company || ' - ' || s.title END AS reply
+          ELSE 'Updated #' || CAST(s.id AS VARCHAR) || ' to ' || p.status || ': ' || s.company || ' - ' || s.title END AS reply
           FROM parsed p LEFT JOIN state s ON p.status IS NOT NULL AND s.id = try_cast(p.target AS BIGINT)""",
     ),
 )

@@ -197,9 +197,14 @@ _DESCRIBED = f"""
 _DESC = (("snaps", _SNAPSHOTS), ("described", _DESCRIBED))
 
 
+@query("whole_page_descriptions", o._with(*_DESC, final="SELECT url, final_url, CASE WHEN error IS NULL THEN text END AS description, error FROM described"))
+def whole_page_descriptions(spark, sf):
+    return pg.describe_pages(rel.relation(spark, sf, _SNAPSHOTS)).select("url", "final_url", "description", "error")
+
+
 @query("described_pages", o._with(*_DESC, final="SELECT url, final_url, CASE WHEN error IS NULL THEN left(text, 20000) END AS description, error FROM described"))
 def described_pages(spark, sf):
-    return pg.describe_pages(rel.relation(spark, sf, _SNAPSHOTS)).select("url", "final_url", "description", "error")
+    return pg.describe_pages(rel.relation(spark, sf, _SNAPSHOTS), max_chars=20_000).select("url", "final_url", "description", "error")
 
 
 # Stored rows that point at real pages: every part row takes a page by number.
@@ -209,7 +214,7 @@ _LINKED = """
   FROM state s LEFT JOIN pages p ON p.page_id = s.id % (SELECT count(*) FROM pages)
 """
 _RESULTS = """
-  SELECT l.id, CASE WHEN n.error IS NULL THEN left(n.text, 20000) END AS description,
+  SELECT l.id, CASE WHEN n.error IS NULL THEN n.text END AS description,
     CASE WHEN l.canonical_url IS NULL AND l.id % 5 = 0 THEN 'linkedin_blocked' WHEN n.url IS NOT NULL AND n.error IS NULL THEN 'fetched' ELSE 'fetch_failed' END AS status,
     CASE WHEN l.canonical_url IS NOT NULL THEN 'canonical_url' WHEN l.id % 5 = 0 THEN 'linkedin_alert_only' ELSE 'source_url' END AS source,
     CASE WHEN l.canonical_url IS NULL AND l.id % 5 = 0 THEN 'LinkedIn alert URL has no canonical posting URL.' WHEN n.url IS NULL THEN 'page snapshot missing' ELSE n.error END AS error,

@@ -50,12 +50,15 @@ def command_replies(state: DataFrame, commands: DataFrame) -> DataFrame:
         .when(F.col("_title").isNull(), F.concat(F.lit("No job found with id "), F.col("target"), F.lit(".")))
         .otherwise(
             F.concat(
-                F.lit("Updated #"), F.col("target"), F.lit(" to "), F.col("status"), F.lit(": "),
+                F.lit("Updated #"), F.col("id").cast("string"), F.lit(" to "), F.col("status"), F.lit(": "),
                 F.col("_company"), F.lit(" - "), F.col("_title"),
             )
         )
     )
-    return commands.join(rows, "id", "left").select("update_id", "chat_id", said.alias("reply"))
+    # Help texts have no id and stay out of the join.
+    found = commands.filter("id IS NOT NULL").join(rows, "id", "left")
+    joined = found.unionByName(commands.filter("id IS NULL"), allowMissingColumns=True)
+    return joined.select("update_id", "chat_id", said.alias("reply"))
 
 
 def apply_commands(state: DataFrame, commands: DataFrame, as_of) -> DataFrame:

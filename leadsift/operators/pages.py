@@ -16,7 +16,6 @@ from leadsift.operators.eligibility import fetch_target
 from leadsift.operators.state import set_descriptions
 from leadsift.rules import (
     AUTHWALL_PHRASES,
-    DESCRIPTION_MAX_CHARS,
     DESCRIPTION_MIN_CHARS,
     LOGIN_WALL_PHRASES,
 )
@@ -67,8 +66,14 @@ def quality_error(text: Column, url: Column) -> Column:
     return let(F.lower(text), check)
 
 
-def describe_pages(snapshots: DataFrame, extractor: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(url, final_url, content_type, html, fetch_error) -> url, description, final_url, error."""
+def describe_pages(
+    snapshots: DataFrame, extractor: Callable[[Column], Column] | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """(url, final_url, content_type, html, fetch_error) -> url, description, final_url, error.
+
+    Descriptions are whole unless ``max_chars`` cuts them.
+    """
+    whole = F.col("text") if max_chars is None else F.left("text", F.lit(max_chars))
     html = F.coalesce("html", F.lit(""))
     is_html = F.lower(F.coalesce("content_type", F.lit(""))).contains("html") | looks_like_html(html)
     readable = F.coalesce("fetch_error", F.lit("")) == ""
@@ -88,7 +93,7 @@ def describe_pages(snapshots: DataFrame, extractor: Callable[[Column], Column] |
     )
     return checked.withColumn("error", error).select(
         "url",
-        F.when(F.col("error").isNull(), F.left("text", F.lit(DESCRIPTION_MAX_CHARS))).alias("description"),
+        F.when(F.col("error").isNull(), whole).alias("description"),
         F.when(missing, F.lit(None).cast("string"))
         .when(odd | F.col("final_url").isNull(), F.col("url"))
         .otherwise(F.col("final_url"))
@@ -112,7 +117,9 @@ def fetch_results(
     order = [F.desc("fetched_at")] if "fetched_at" in snapshots.columns else [F.col("final_url")]
     pages = keep_first(snapshots.join(wanted, "url", "left_semi"), [F.col("url")], order)
     texts = describe_pages(pages, extractor).withColumn("_seen", F.lit(True))
-    joined = due.join(texts, "url", "left")
+    # Blocked rows have no URL and may be most of the list: they take no part in the join.
+    found = due.filter("url IS NOT NULL").join(texts, "url", "left")
+    joined = found.unionByName(due.filter("url IS NULL"), allowMissingColumns=True)
     blocked = F.col("url").isNull()
     return joined.select(
         "id",

@@ -9,7 +9,6 @@ from leadsift.functions.text import any_sql, has_any, let
 from leadsift.rules import (
     DEFAULT_RULES,
     NOISE_MARKERS,
-    RELEVANCE_SCAN_CHARS,
     SENDER_MARKERS,
     SKIP,
     TEXT_MARKERS,
@@ -25,10 +24,10 @@ def is_relevant(
 
     The texts are bound once by a lambda: a filter does not share sub-expressions.
     """
-    text = (
-        f"concat(lower(coalesce({subject}, '')), '\\n', "
-        f"lower(left(coalesce({body}, ''), {RELEVANCE_SCAN_CHARS})))"
-    )
+    scanned = f"coalesce({body}, '')"
+    if rules.scan_chars is not None:
+        scanned = f"left({scanned}, {rules.scan_chars})"
+    text = f"concat(lower(coalesce({subject}, '')), '\\n', lower({scanned}))"
     known = any_sql("x.who", (*rules.sender_tokens(), *SENDER_MARKERS))
     test = f"NOT ({any_sql('x.t', NOISE_MARKERS)}) AND ({known} OR {any_sql('x.t', TEXT_MARKERS)})"
     texts = f"named_struct('t', {text}, 'who', lower(coalesce({sender}, '')))"

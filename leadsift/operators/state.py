@@ -118,57 +118,31 @@ def upsert(
 
 
 def merge_fold(state: DataFrame, fold: DataFrame) -> DataFrame:
-    """Full outer merge of folded sightings and state; both sides are one row per key."""
+    """Full outer merge of folded sightings and state; both sides are one row per key.
+
+    Batches may come in any order: times only widen, and the fields of the later sighting
+    stay. A row without an id or a count gets one.
+    """
     s, b = state.alias("s"), fold.alias("b")
     joined = s.join(b, F.col("s.job_fingerprint") == F.col("b.job_fingerprint"), "full_outer")
     seen = F.col("b.occurrences").isNotNull()
     known = F.col("s.job_fingerprint").isNotNull()
+    later = F.col("b.last_at") >= F.col("s.last_seen_at")
+    newest = seen & F.coalesce(later, F.lit(True))
     key = F.coalesce(F.col("s.job_fingerprint"), F.col("b.job_fingerprint"))
     fresh = {
         "id": F.coalesce(F.col("s.id"), surrogate_id(key)),
         "job_fingerprint": key,
-        "first_seen_at": F.when(known, F.col("s.first_seen_at")).otherwise(F.col("b.first_at")),
-        "last_seen_at": F.coalesce(F.col("b.last_at"), F.col("s.last_seen_at")),
+        "first_seen_at": F.least(F.col("s.first_seen_at"), F.col("b.first_at")),
+        "last_seen_at": F.greatest(F.col("b.last_at"), F.col("s.last_seen_at")),
         "seen_count": F.coalesce(F.col("s.seen_count"), F.lit(0))
         + F.coalesce(F.col("b.occurrences"), F.lit(0)),
         "status": F.when(known, F.col("s.status")).otherwise(F.lit("New")),
-        "created_at": F.when(known, F.col("s.created_at")).otherwise(F.col("b.first_at")),
-        "updated_at": F.coalesce(F.col("b.last_at"), F.col("s.updated_at")),
-    }
-    for name in REFRESHED:
-        fresh[name] = F.when(seen, F.col(f"b.latest.{name}")).otherwise(F.col(f"s.{name}"))
-    return joined.select(
-        *[fresh.get(c, F.col(f"s.{c}")).cast(t).alias(c) for c, t in STATE_COLUMNS.items()]
-    )
-
-
-def merge_small_fold(state: DataFrame, fold: DataFrame) -> DataFrame:
-    """Same result as ``merge_fold`` for a fold of checked, small size.
-
-    The state is never shuffled: known rows meet the broadcast fold, and new rows
-    are found by a second, key-only read of the state.
-    """
-    small = F.broadcast(fold)
-    known = merge_into_known(state, small)
-    old_keys = state.select("job_fingerprint").join(
-        F.broadcast(fold.select("job_fingerprint")), "job_fingerprint", "left_semi"
-    )
-    new = fold.join(F.broadcast(old_keys), "job_fingerprint", "left_anti")
-    return known.unionByName(merge_fold(empty_state(state.sparkSession), new))
-
-
-def merge_into_known(state: DataFrame, fold: DataFrame) -> DataFrame:
-    joined = state.alias("s").join(
-        fold.alias("b"), F.col("s.job_fingerprint") == F.col("b.job_fingerprint"), "left"
-    )
-    seen = F.col("b.occurrences").isNotNull()
-    fresh = {
-        "last_seen_at": F.coalesce(F.col("b.last_at"), F.col("s.last_seen_at")),
-        "seen_count": F.col("s.seen_count") + F.coalesce(F.col("b.occurrences"), F.lit(0)),
-        "updated_at": F.coalesce(F.col("b.last_at"), F.col("s.updated_at")),
+        "created_at": F.least(F.col("s.created_at"), F.col("b.first_at")),
+        "updated_at": F.greatest(F.col("b.last_at"), F.col("s.updated_at")),
     }
     for name in REFRESHED:
-        fresh[name] = F.when(seen, F.col(f"b.latest.{name}")).otherwise(F.col(f"s.{name}"))
+        fresh[name] = F.when(newest, F.col(f"b.latest.{name}")).otherwise(F.col(f"s.{name}"))
     return joined.select(
         *[fresh.get(c, F.col(f"s.{c}")).cast(t).alias(c) for c, t in STATE_COLUMNS.items()]
     )
@@ -189,6 +163,7 @@ def evolve_state(state: DataFrame, as_of: Column | dt.datetime | str) -> DataFra
         "source_url": old("job_link"),
         "seen_count": F.lit(1),
         "status": F.lit("New"),
+        "id": surrogate_id(old("job_fingerprint")),
     }
     absent = {
         name: filled.get(name, F.lit(None)).cast(kind)

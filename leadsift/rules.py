@@ -97,7 +97,6 @@ NOISE_MARKERS = (
     "application received", "virtual interview", "just messaged you",
     "messaged you",
 )
-RELEVANCE_SCAN_CHARS = 5000
 
 # Company spellings and title acronyms.
 COMPANY_NAMES = {
@@ -217,7 +216,7 @@ SEARCH_SITES = (
 SEARCH_WORDS = ("careers", "greenhouse", "lever", "ashby", "workday")
 
 # Page gates and markers.
-DESCRIPTION_MIN_CHARS, DESCRIPTION_MAX_CHARS = 500, 20_000
+DESCRIPTION_MIN_CHARS = 500
 AUTHWALL_PHRASES = ("sign in", "join linkedin", "login", "authwall")
 LOGIN_WALL_PHRASES = (
     "sign in", "we're signing you in", "discover people, jobs, and more",
@@ -235,6 +234,8 @@ HIDDEN_TAGS = ("script", "style", "noscript", "svg", "canvas")
 class RulePack:
     """User preferences consumed by filtering, extraction and scoring."""
 
+    #: Characters of a body that the relevance filter reads; all if None.
+    scan_chars: int | None = None
     role_terms: tuple[str, ...] = ROLE_TERMS
     place_terms: tuple[str, ...] = PLACE_TERMS
     skill_terms: tuple[str, ...] = SKILL_TERMS

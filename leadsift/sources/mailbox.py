@@ -12,7 +12,6 @@ from leadsift.operators.dedupe import keep_first
 from leadsift.operators.relevance import is_relevant
 from leadsift.rules import DEFAULT_RULES, RulePack
 
-NEWEST = 25
 _UID_SPAN = 2**32
 
 
@@ -27,8 +26,10 @@ def read_mailbox_files(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def newest_per_mailbox(raw: DataFrame, limit: int = NEWEST) -> DataFrame:
-    """Newest messages of every mailbox; cut down before the shuffle."""
+def newest_per_mailbox(raw: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest messages of every mailbox, cut down before the shuffle; all without a limit."""
+    if limit is None:
+        return raw
     newest = Window.partitionBy("mailbox").orderBy(F.desc("uid"))
     return raw.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limit).drop("_n")
 
@@ -127,10 +128,10 @@ def to_messages(decoded: DataFrame, rank: Column) -> DataFrame:
 
 
 def load_mailboxes(
-    raw: DataFrame, labels: Sequence[str] = (), main: str = "INBOX", limit: int = NEWEST,
+    raw: DataFrame, labels: Sequence[str] = (), main: str = "INBOX", limit: int | None = None,
     rules: RulePack = DEFAULT_RULES,
 ) -> DataFrame:
-    """Newest messages whose headers look relevant, de-duplicated across mailboxes."""
+    """Messages (the newest `limit` of each mailbox) whose headers look relevant, de-duplicated."""
     rank = mailbox_rank(labels, main)
     decoded = decode_messages(newest_per_mailbox(raw.filter(rank.isNotNull()), limit))
     kept = decoded.filter(is_relevant(rules, body="''"))

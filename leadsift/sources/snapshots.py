@@ -10,26 +10,28 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from leadsift.functions.dates import timestamp
-from leadsift.operators.state import STATE_COLUMNS, empty_state, fold_sightings, merge_fold, merge_small_fold
+from leadsift.operators.state import STATE_COLUMNS, empty_state, fold_sightings, merge_fold
 
 
 @dataclasses.dataclass(frozen=True)
 class Commit:
     version: int = 0
+    folder: str = ""
     batches: dict[str, int] = dataclasses.field(default_factory=dict)
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed the same version first; read the table again and retry."""
+
+
 class StateTable:
     """State of opportunities under ``path``: read, replace, upsert."""
 
-    # A fold is broadcast only below this measured size; beyond it both sides
-    # are joined by sort-merge.
-    small_fold_bytes = 32 << 20
-
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -57,9 +59,6 @@ class StateTable:
             stream.close()
         return Commit(**json.loads(text))
 
-    def _data_path(self, version: int) -> str:
-        return f"{self.path}/data/v={version:010d}"
-
     # -- public ------------------------------------------------------------
     def read(self) -> DataFrame:
         """Newest committed state; an empty table before the first commit."""
@@ -67,7 +66,7 @@ class StateTable:
         if version == 0:
             return empty_state(self.spark)
         schema = ", ".join(f"{c} {t}" for c, t in STATE_COLUMNS.items())
-        return self.spark.read.schema(schema).parquet(self._data_path(version))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/data/{self.last_commit().folder}")
 
     def write(self, state: DataFrame, stream: str | None = None, batch_id: int | None = None) -> Commit:
         """Store a new version, then commit it."""
@@ -75,18 +74,34 @@ class StateTable:
         batches = dict(last.batches)
         if stream is not None:
             batches[stream] = batch_id
-        commit = Commit(last.version + 1, batches)
-        state.select(*STATE_COLUMNS).write.mode("overwrite").parquet(self._data_path(commit.version))
-        fs, file = self._hadoop(f"_commits/{commit.version:010d}.json")
-        out = fs.create(file, False)
+        # Every attempt has a folder of its own, so no writer touches another's files.
+        commit = Commit(last.version + 1, f"v={last.version + 1:010d}-{uuid.uuid4().hex}", batches)
+        state.select(*STATE_COLUMNS).write.parquet(f"{self.path}/data/{commit.folder}")
+        self._publish(commit)
+        self._forget(commit.version - 2)
+        return commit
+
+    def _publish(self, commit: Commit) -> None:
+        """Write the commit aside and rename it, so readers see all of it or none.
+
+        A rename onto a commit that another writer made fails, and the caller reads again.
+        """
+        fs, aside = self._hadoop(f"_commits/.{commit.folder}")
+        out = fs.create(aside, True)
         try:
             out.write(bytearray(json.dumps(dataclasses.asdict(commit)), "utf-8"))
         finally:
             out.close()
-        old, target = self._hadoop(f"data/v={commit.version - 2:010d}")
-        if commit.version > 2 and old.exists(target):
-            old.delete(target, True)
-        return commit
+        _, target = self._hadoop(f"_commits/{commit.version:010d}.json")
+        if fs.exists(target) or not fs.rename(aside, target):
+            raise CommitConflict(f"version {commit.version} was committed by another writer")
+
+    def _forget(self, version: int) -> None:
+        fs, folder = self._hadoop("data")
+        for file in fs.listStatus(folder):
+            name = file.getPath().getName()
+            if name.startswith("v=") and int(name[2:12]) <= version:
+                fs.delete(file.getPath(), True)
 
     def applied(self, stream: str, batch_id: int) -> bool:
         return self.last_commit().batches.get(stream, -1) >= batch_id
@@ -97,8 +112,8 @@ class StateTable:
     ) -> Commit:
         """Fold a batch of scored postings into the state; replays change nothing.
 
-        The fold is written first, so its true size is known before the join and
-        a lost executor never recomputes the extraction behind it.
+        The fold is written first, so a lost executor never recomputes the extraction
+        behind it and adaptive execution sees its true size.
         """
         if stream is not None and self.applied(stream, batch_id):
             return self.last_commit()
@@ -106,24 +121,10 @@ class StateTable:
         if seen_at is None:
             now = timestamp(as_of)
             fold = fold.withColumns({"first_at": now, "last_at": now})
-        staged = f"{self.path}/_staged/{self.last_commit().version + 1:010d}"
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
         fold.write.mode("overwrite").parquet(staged)
         folded = self.spark.read.schema(fold.schema).parquet(staged)
-        merge = merge_small_fold if self._bytes(staged) <= self.small_fold_bytes else merge_fold
-        commit = self.write(merge(self.read(), folded), stream, batch_id)
-        fs, target = self._hadoop(f"_staged/{commit.version:010d}")
+        commit = self.write(merge_fold(self.read(), folded), stream, batch_id)
+        fs, target = self._hadoop(f"_staged/{staged.rpartition('/')[2]}")
         fs.delete(target, True)
         return commit
-
-    def _bytes(self, path: str) -> int:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.getContentSummary(target).getLength()
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The cluster's shared checkpoint folder; ``fallback`` only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if path is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return path.rstrip("/")

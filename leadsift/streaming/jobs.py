@@ -35,19 +35,21 @@ class CycleOptions:
     include_investigate: bool = False
     minimum_score: int | None = None
     max_seen_count: int | None = 3
-    description_limit: int | None = 5
+    description_limit: int | None = None
 
 
 def run_cycle(
     table: StateTable, messages: DataFrame, as_of, *, batch_id: int, stream: str = "messages",
     rules: RulePack = DEFAULT_RULES, options: CycleOptions = CycleOptions(),
-    snapshots: DataFrame | None = None, commands: DataFrame | None = None,
-    send: Callable[[DataFrame], None] | None = None,
+    snapshots: DataFrame | None = None, commands: DataFrame | None = None, chat_id: str | None = None,
+    send: Callable[[DataFrame], None] | None = None, reply: Callable[[DataFrame], None] | None = None,
 ) -> None:
     """Ingest, rescore, enrich, alert, apply commands; an error stops the cycle.
 
     Every step commits a state version tagged with the batch, so a replayed batch
-    resumes after the last finished step and never counts a sighting twice.
+    resumes after the last finished step and never counts a sighting twice. Commands of
+    other chats than ``chat_id`` are ignored; ``reply`` gets a row for each command. A
+    ``stream`` name belongs to one checkpoint: a new checkpoint needs a new name.
     """
 
     def step(name: str, change: Callable[[], DataFrame]) -> None:
@@ -73,7 +75,12 @@ def run_cycle(
             )
         )
     if commands is not None:
-        step("commands", lambda: apply_commands(table.read(), parse_commands(commands), as_of))
+        if chat_id is None:
+            raise ValueError("commands need the chat_id they may come from")
+        mine = parse_commands(commands, chat_id)
+        if reply is not None:
+            reply(command_replies(table.read(), mine))
+        step("commands", lambda: apply_commands(table.read(), mine, as_of))
 
 
 def cycle_stream(
@@ -94,7 +101,7 @@ def cycle_stream(
 
 def command_stream(
     updates: DataFrame, table: StateTable, outbox: str, as_of: Callable[[], object],
-    checkpoint: str, chat_id: str | None = None, stream: str = "commands",
+    checkpoint: str, chat_id: str, stream: str = "commands",
 ) -> DataStreamWriter:
     """Command feed -> status updates and reply rows (one folder per batch)."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadsift.operators import state as st
 from leadsift.operators.commands import command_replies, parse_commands
 from leadsift.sources.landing import read_updates, stream_updates
-from leadsift.sources.snapshots import StateTable
+from leadsift.sources.snapshots import Commit, CommitConflict, StateTable
 from leadsift.streaming.jobs import command_stream, cycle_stream
 
 DAY1, DAY2 = "2026-07-01T00:00:00", "2026-07-02T00:00:00"
@@ -43,12 +43,34 @@ def test_upsert_counts_and_keeps(spark, tmp_path):
     assert {r.status for r in rows.values()} == {"New"}
 
 
-def test_small_and_large_merge_agree(spark):
-    base = st.upsert(st.empty_state(spark), scored(spark, ("cohere", "Applied AI Engineer"), ("td", "Data Analyst")), DAY1)
-    now = F.lit(DAY2).cast("timestamp")
-    fold = st.fold_sightings(scored(spark, ("cohere", "Applied AI Engineer"), ("bmo", "ML Engineer"))).withColumns({"first_at": now, "last_at": now})
-    one = sorted(map(str, st.merge_fold(base, fold).collect()))
-    assert one == sorted(map(str, st.merge_small_fold(base, fold).collect()))
+def test_late_batch_gives_the_same_state(spark):
+    early, late = scored(spark, ("cohere", "Applied AI Engineer"), ("td", "Data Analyst")), scored(spark, ("cohere", "Applied AI Engineer"), ("bmo", "ML Engineer"))
+    in_order = st.upsert(st.upsert(st.empty_state(spark), early, DAY1), late, DAY2)
+    reversed_order = st.upsert(st.upsert(st.empty_state(spark), late, DAY2), early, DAY1)
+    assert sorted(map(str, in_order.collect())) == sorted(map(str, reversed_order.collect()))
+
+
+def test_old_state_gets_ids_and_counts(spark):
+    base = st.upsert(st.empty_state(spark), scored(spark, ("cohere", "Applied AI Engineer")), DAY1)
+    old = st.evolve_state(base.drop("id"), DAY1)
+    assert [r.id for r in old.collect()] == [r.id for r in base.collect()]
+    bare = base.withColumns({"id": F.lit(None).cast("bigint"), "seen_count": F.lit(None).cast("int")})
+    row = st.upsert(bare, scored(spark, ("cohere", "Applied AI Engineer")), DAY2).first()
+    assert row.id == base.first().id and row.seen_count == 1
+
+
+def test_two_writers_and_an_unfinished_commit(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"))
+    table.upsert(scored(spark, ("td", "Data Analyst")), DAY1)
+    before = sorted(map(str, table.read().collect()))
+    stale = table.last_commit
+    table.upsert(scored(spark, ("bmo", "ML Engineer")), DAY1)
+    other = StateTable(spark, table.path)
+    first = Commit(1, other._commits()[0], {})
+    other.last_commit = lambda: first  # a writer that has not seen version 2
+    with pytest.raises(CommitConflict):
+        other.write(st.empty_state(spark))
+    assert table.read().count() == 2 and stale().version == 2 and len(before) == 1
 
 
 def test_streams_match_batch(spark, tmp_path):
