@@ -156,7 +156,9 @@ class Mix:
             "_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_quota") - 1) / SLOT_RUN)))
         )
         begin = F.col("_run") * SLOT_RUN
-        slots = runs.repartition("_source", "_run").withColumn(
+        # A fixed number of partitions, which adaptive execution does not fold into one small task.
+        tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slots = runs.repartition(tasks, "_source", "_run").withColumn(
             "_k", F.explode(F.sequence(begin, F.least(begin + SLOT_RUN, F.col("_quota")) - 1))
         )
         source_pass = F.floor(F.col("_k") / F.col("_n"))
@@ -168,7 +170,8 @@ class Mix:
         )
 
     def _drawn(self) -> DataFrame:
-        return self._blocks().join(self._slots(), ["_source", "_block"])
+        # Slots multiply after their last exchange, so their measured size says nothing: never broadcast.
+        return self._blocks().join(self._slots().hint("merge"), ["_source", "_block"])
 
     def documents(self) -> DataFrame:
         """Every input row with `size`, `source_size`, `target` and `taken` (words, repeats counted)."""
