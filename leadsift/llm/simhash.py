@@ -18,8 +18,9 @@ from leadsift.llm.graph import components
 SEED = 42
 #: Fan-out of the index and members of a leaf.
 FANOUT = 16
-#: Queries that walk the index together, and rows of one key held at a time by `near_copies`.
-QUERY_BLOCK = 2048
+#: Queries that walk the index together: at first, and at most.
+FIRST_BLOCK, QUERY_BLOCK = 64, 2048
+#: Rows of one key that are searched together; larger keys are dealt into parts.
 KEY_BLOCK = 16_384
 MIX = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -87,38 +88,52 @@ class GrayIndex:
             self.levels.append((pattern, own))
         self.masks = levels[0][1]
 
-    def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i < j) of input rows within `most` differing bits, block by block."""
+    def roots(self, most: int) -> np.ndarray:
+        """For each input row a row that stands for all it reaches by links of at most `most` bits.
+
+        Query blocks begin small and double. What earlier blocks have joined is not compared
+        again: a walk also leaves nodes whose rows all have the query's root, so a dense group
+        costs little more than its first queries.
+        """
         n = len(self.points)
-        for start in range(0, n, QUERY_BLOCK):
-            query = np.arange(start, min(n, start + QUERY_BLOCK))
-            node, met = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
-            for depth, (pattern, own) in enumerate(self.levels):
-                if depth:
-                    query, node, met = self._children(query, node, met, len(pattern))
-                met = met + np.bitwise_count((self.points[query] ^ pattern[node]) & own[node]).sum(1)
-                keep = met <= most
-                query, node, met = query[keep], node[keep], met[keep]
-            leaf = node
-            query, node, met = self._children(query, node, met, n)
-            leaf = node // FANOUT
-            later = node > query
-            query, node, met, leaf = query[later], node[later], met[later], leaf[later]
-            met = met + np.bitwise_count((self.points[query] ^ self.points[node]) & ~self.masks[leaf]).sum(1)
+        root = np.arange(n)
+        start, size = 0, FIRST_BLOCK
+        while start < n:
+            query = np.arange(start, min(n, start + size))
+            self._unite(root, *self._found(query, root, self._uniform(root) if start else None, most))
+            start, size = start + size, min(2 * size, QUERY_BLOCK)
+        out = np.empty(n, np.int64)
+        out[self.order] = self.order[root]
+        return out
+
+    def _uniform(self, root: np.ndarray) -> list[np.ndarray]:
+        """By level from the tree's root: the root that all rows below a node have, or -1."""
+        low, high, out = root, root, []
+        for _ in self.levels:
+            at = np.arange(0, len(low), FANOUT)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            out.append(np.where(low == high, low, -1))
+        return out[::-1]
+
+    def _found(self, query, root, uniform, most) -> tuple[np.ndarray, np.ndarray]:
+        """Links from the queries to rows of other roots that come later in Gray order."""
+        node, met = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
+        for depth, (pattern, own) in enumerate(self.levels):
+            if depth:
+                query, node, met = self._children(query, node, met, len(pattern))
+            met = met + np.bitwise_count((self.points[query] ^ pattern[node]) & own[node]).sum(1)
             keep = met <= most
-            yield self.order[query[keep]], self.order[node[keep]]
+            if uniform:
+                keep &= uniform[depth][node] != root[query]
+            query, node, met = query[keep], node[keep], met[keep]
+        query, node, met = self._children(query, node, met, len(self.points))
+        keep = (node > query) & (root[node] != root[query])
+        query, node, met = query[keep], node[keep], met[keep]
+        met = met + np.bitwise_count((self.points[query] ^ self.points[node]) & ~self.masks[node // FANOUT]).sum(1)
+        return query[met <= most], node[met <= most]
 
     @staticmethod
-    def _children(query, node, met, n):
-        child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        inside = child < n
-        return np.repeat(query, FANOUT)[inside], child[inside], np.repeat(met, FANOUT)[inside]
-
-
-def _roots(points: np.ndarray, most: int) -> np.ndarray:
-    """For each point the smallest row number that it reaches by links of at most `most` bits."""
-    root = np.arange(len(points))
-    for a, b in GrayIndex(points).pairs(most):
+    def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             ra, rb = root[a], root[b]
             apart = ra != rb
@@ -127,29 +142,44 @@ def _roots(points: np.ndarray, most: int) -> np.ndarray:
             np.minimum.at(root, ra, least)
             np.minimum.at(root, rb, least)
             while (root[root] != root).any():
-                root = root[root]
-    return root
+                root[:] = root[root]
+
+    @staticmethod
+    def _children(query, node, met, n):
+        child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        inside = child < n
+        return np.repeat(query, FANOUT)[inside], child[inside], np.repeat(met, FANOUT)[inside]
 
 
-def linked(rows: DataFrame, most: int, block: int | None = None) -> DataFrame:
+def linked(rows: DataFrame, most: int, block: int = KEY_BLOCK) -> DataFrame:
     """Links (`a`, `b`) that connect, within each `_key`, what differs in at most `most` bits.
 
-    `rows` has `_key` (long), `_id` (long) and `_words` (array of longs). A key with n rows gives
-    fewer than n links, which connect the same rows as all its pairs would. Rows of a key come in
-    sorted order and are searched together, or in runs of `block` rows, each run together with one
-    row of every group found before, so that no key needs more memory than that.
+    `rows` has `_key` (long), `_id` (long) and `_words` (array of longs). What shares a key is
+    searched together. A key of more than `block` rows is dealt into parts of about that size by a
+    hash of the row, and every two parts meet in a task of their own: no task holds more than about
+    two parts and no link is lost. Such keys are found by a count with map-side combining. A search
+    over n rows gives fewer than n links, which connect the same rows as all its pairs would.
     """
     width_schema = "a long, b long"
-    ordered = rows.repartition("_key").sortWithinPartitions("_key", "_words", "_id")
+    large = written(
+        rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("_key", F.ceil(F.col("_n") / block).alias("_parts")),
+        "large-keys",
+    )
+    part = F.pmod(F.xxhash64("_id"), F.col("_parts"))
+    meets = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: j != F.col("_part"))
+    split = (
+        rows.join(large, "_key")
+        .withColumn("_part", part)
+        .withColumn("_other", F.explode(meets))
+        .select(F.xxhash64("_key", F.least("_part", "_other"), F.greatest("_part", "_other")).alias("_key"), "_id", "_words")
+    )
+    cells = rows.join(large, "_key", "left_anti").select("_key", "_id", "_words").unionByName(split)
+    ordered = cells.repartition("_key").sortWithinPartitions("_key", "_words", "_id")
 
-    def search(ids: np.ndarray, words: np.ndarray, carried: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        if carried:
-            ids = np.concatenate([carried[0], ids])
-            words = np.concatenate([carried[1], words])
-        root = _roots(words, most)
-        own = root == np.arange(len(root))
-        carried[:] = [ids[own], words[own]]
-        return [(ids[~own], ids[root[~own]])]
+    def search(ids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root = GrayIndex(words).roots(most)
+        apart = root != np.arange(len(root))
+        return ids[apart], ids[root[apart]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -165,10 +195,7 @@ def linked(rows: DataFrame, most: int, block: int | None = None) -> DataFrame:
                 column = table.column("_words").combine_chunks()
                 words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
                 for k in np.flatnonzero(np.diff(bounds[: done + 1]) > 1):
-                    low, high, carried = bounds[k], bounds[k + 1], []
-                    step = block or high - low
-                    for at in range(low, high, step):
-                        out += search(ids[at : min(at + step, high)], words[at : min(at + step, high)], carried)
+                    out.append(search(ids[bounds[k] : bounds[k + 1]], words[bounds[k] : bounds[k + 1]]))
             return out, table.slice(bounds[max(done, 0)]) if len(key) else None
 
         for batch in batches:
@@ -279,7 +306,7 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 46, key: str = "doc
         prints.groupBy("_words").agg(F.min(first).alias("_first"), F.min("_row").alias("_id"), F.first("_keys").alias("_keys")), "near-nodes"
     )
     candidates = nodes.select(F.explode("_keys").alias("_key"), "_id", "_words")
-    labels = components(linked(candidates, most, KEY_BLOCK).distinct())
+    labels = components(linked(candidates, most).distinct())
     groups = written(
         nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select("_words", "_first", F.coalesce("label", "_id").alias("_group")),
         "near-groups",

@@ -9,7 +9,7 @@ import xxhash
 
 from leadsift.llm import warc
 from leadsift.llm.graph import components
-from leadsift.llm.simhash import GrayIndex, _roots, gray_rank, near_copies, shingle_hashes, simhash_components
+from leadsift.llm.simhash import GrayIndex, gray_rank, linked, near_copies, shingle_hashes, simhash_components
 
 
 def brute_fingerprint(text):
@@ -53,11 +53,27 @@ def test_index_finds_all_pairs(words, most):
                 p[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
             points.append(p)
     points = np.unique(np.array(points), axis=0)
-    found = {tuple(sorted(p)) for a, b in GrayIndex(points).pairs(most) for p in zip(a.tolist(), b.tolist())}
+    index, n = GrayIndex(points), len(points)
+    a, b = (index.order[x].tolist() for x in index._found(np.arange(n), np.arange(n), None, most))
+    found = {tuple(sorted(p)) for p in zip(a, b)}
     far = np.bitwise_count(points[:, None] ^ points[None]).sum(2)
     assert found == {(i, j) for i, j in zip(*np.nonzero(far <= most)) if i < j}
     labels = brute_components([int.from_bytes(p.tobytes(), "little") for p in points], most)
-    assert len(set(_roots(points, most).tolist())) == len(set(labels))
+    assert len(set(zip(index.roots(most).tolist(), labels))) == len(set(index.roots(most).tolist())) == len(set(labels))
+
+
+@pytest.mark.parametrize("block", [7, 40, 10_000])
+def test_links_of_a_hot_key_connect_what_all_pairs_connect(spark, block):
+    rng = random.Random(block)
+    chain = [(1 << i) - 1 for i in range(40)]
+    star = [0xF0F0 << 40 ^ 1 << rng.randrange(40) ^ 1 << rng.randrange(40) for _ in range(60)]
+    values = sorted({*chain, *star, *(rng.getrandbits(62) for _ in range(30))})
+    data = [(5 if i % 10 else 6, i, [v]) for i, v in enumerate(values)] + [(5, i, [v]) for i, v in enumerate(values) if i % 10 == 0]
+    rows = spark.createDataFrame(data, "_key long, _id long, _words array<long>")
+    links = [(r.a, r.b) for r in linked(rows, 2, block).distinct().collect()]
+    assert all((values[a] ^ values[b]).bit_count() > 0 for a, b in links)
+    reached = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert [reached.get(i, i) for i in range(len(values))] == brute_components(values, 2)
 
 
 def test_gray_neighbours_differ_in_one_bit():
