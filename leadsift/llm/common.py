@@ -45,11 +45,14 @@ def with_results(
     docs: DataFrame,
     text: str,
     fields: list[T.StructField],
-    fn: Callable[[list[str]], list[list]],
+    fn: Callable[..., list[list]],
     drop_text: bool = False,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """Append columns that `fn` makes from the texts of one Arrow batch (null: empty text).
 
+    The columns `also` are handed to `fn` as further lists.
+
     Other columns pass through untouched; one named like a result is replaced by it.
     """
     made = {f.name.lower() for f in fields}
@@ -57,12 +60,13 @@ def with_results(
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [*keep, *(f.name for f in fields)]
-    source = docs.select(*keep, F.col(text).alias("_text_in"))
+    source = docs.select(*keep, F.col(text).alias("_text_in"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            made_columns = [pa.array(v, t) for v, t in zip(fn(texts), types, strict=True)]
+            more = [c.to_pylist() for c in batch.columns[len(keep) + 1 :]]
+            made_columns = [pa.array(v, t) for v, t in zip(fn(texts, *more), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made_columns], names=names)
 
     return source.mapInArrow(run, schema)

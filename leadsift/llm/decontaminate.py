@@ -5,18 +5,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from itertools import zip_longest
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsift.llm.common import with_results
+from leadsift.llm.common import with_results, written
 
 #: A word: no ASCII character but digits and lower-case letters.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Test words that one broadcast holds; a larger benchmark goes through in several passes.
-BROADCAST_WORDS = 2_000_000
+#: Test words that one broadcast holds; a larger benchmark goes through in several passes, which
+#: hashing deals so evenly that half the bound is the size aimed at.
+BROADCAST_WORDS = 1_000_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: str) -> list[str]:
@@ -83,39 +86,43 @@ def decontamination(
 ) -> DataFrame:
     """`docs` with the words, hits and items of each text; the text itself only with `keep_text`.
 
-    Windows are `width` words of an item, or all its words if it has fewer. The set is broadcast in
-    blocks of at most BROADCAST_WORDS words; every block meets all documents, and the next block adds to the
-    columns of the last. `hit_spans` lists word positions, start and end in turn, of the maximal
+    Windows are `width` words of an item, or all its words if it has fewer. Each pass over the
+    documents broadcasts the set of at most BROADCAST_WORDS test words (or of one longer item); a
+    larger benchmark takes several passes, each written to the shared folder, and the next adds to
+    the hits of the last. `hit_spans` lists word positions, start and end in turn, of the maximal
     hit runs. Null texts and items have no words and are never hit; an empty benchmark hits nothing;
     null item ids take part as "null"; an empty table gives an empty result; input columns named like results are replaced.
     """
     spark = docs.sparkSession
-    words = F.size(F.split(F.coalesce(item_text, F.lit("")), r"\s+"))
-    total = benchmark.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BROADCAST_WORDS))
-    numbered = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
-    numbered = numbered.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    shared = []
-    for b in range(blocks):
+    words = F.regexp_count(F.coalesce(F.translate(item_text, UPPER, LOWER), F.lit("")), F.lit(WORD.pattern))
+    numbered = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"), words.alias("n")).distinct()
+    passes = max(1, -(-(numbered.agg(F.sum("n")).first()[0] or 0) // (BROADCAST_WORDS // 2)))
+    numbered = numbered.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(passes)))
+    done = docs
+    for b in range(passes):
         rows = numbered.where(F.col("b") == b).toLocalIterator()
-        shared.append(spark.sparkContext.broadcast(WindowSet([(r["i"], words_of(r["t"] or "")) for r in rows], width)))
-
-    def fn(texts: list[str]) -> list[list]:
-        out = []
-        for t in texts:
-            found = words_of(t)
-            hit, items = np.zeros(len(found), bool), set()
-            for block in shared:
-                more, owners = block.value.hits(found)
-                hit |= more
-                items |= owners
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            n = int(hit.sum())
-            digest = hashlib.sha256(_joined(items).encode()).hexdigest()
-            out.append((len(found), n, len(items), digest, n > 0, sorted(items), edges.tolist()))
-        return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in FIELDS]
-
-    return with_results(docs, text, FIELDS, fn, drop_text=not keep_text)
+        shared = spark.sparkContext.broadcast(WindowSet([(r["i"], words_of(r["t"] or "")) for r in rows], width))
+
+        def fn(texts: list[str], spans: list = (), before: list = (), shared=shared) -> list[list]:
+            out = []
+            for t, old, known in zip_longest(texts, spans, before, fillvalue=()):
+                found = words_of(t)
+                hit, items = shared.value.hits(found)
+                for low, high in zip(old[::2], old[1::2], strict=True):
+                    hit[low:high] = True
+                items = items.union(known)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                n = int(hit.sum())
+                digest = hashlib.sha256(_joined(items).encode()).hexdigest()
+                out.append((len(found), n, len(items), digest, n > 0, sorted(items), edges.tolist()))
+            return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in FIELDS]
+
+        last = b == passes - 1
+        done = with_results(done, text, FIELDS, fn, drop_text=last and not keep_text, also=("hit_spans", "hit_items") if b else ())
+        if not last:
+            done = written(done, "decontamination-pass")
+            shared.unpersist()
+    return done
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text") -> DataFrame:
