@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all rows of the stage before, a
 columns of documents (the last one adds shard and slot). Toxic documents, all but one document of
 each group of near copies, and documents that hold a benchmark window go; the mix takes every
 source at least once whole and at most twice, in pieces of documents; the shards hold all pieces.
+
+Null keys, texts and sources, repeated rows and empty tables pass every stage: null and empty texts
+are copies of each other and have no words for the mix to take; a null source is one source. Extra
+columns pass through whatever their names, but `shard` and `slot` are replaced by the last stage.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsift.llm.common import shared_dir, table
+from leadsift.llm.common import record, shared_dir, table, unpacked
 from leadsift.llm.decontaminate import without_contaminated
 from leadsift.llm.mixing import Mix
 from leadsift.llm.sharding import shuffled_shards
@@ -25,12 +29,13 @@ BLOCK_WORDS = 2048
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), keep_text=True)
-    return scored.where("predicted = 0").select(docs.columns)
+    scored = toxicity(docs.select(record(docs), "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select("_record.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies(docs).where("NOT is_copy").select(docs.columns)
+    judged = near_copies(docs.select(record(docs, without="text"), "doc_id", "text"))
+    return judged.where("NOT is_copy").select(*unpacked(docs.columns, text=F.col("text")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mix = Mix(docs, (3, 1, 2), share=1.5, cap=2.0, least=1.0, block_words=BLOCK_WORDS)
-    return mix.pieces().withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    packed = docs.select(record(docs, without="text"), "doc_id", "text", "source")
+    mix = Mix(packed, (3, 1, 2), share=1.5, cap=2.0, least=1.0, block_words=BLOCK_WORDS)
+    text = F.col("text")
+    return mix.pieces().select(*unpacked(docs.columns, text=text, n_chars=F.length(text).cast("long")))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def record(docs: DataFrame, without: str | None = None) -> Column:
+    """All columns of `docs` but `without` as one struct `_record`, out of the way of an operator's names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("_record")
+
+
+def unpacked(columns: list[str], **given: Column) -> list[Column]:
+    """The named columns of `_record` again, those in `given` from there."""
+    return [given[c].alias(c) if c in given else F.col(f"_record.`{c}`") for c in columns]
+
+
 def with_results(
     docs: DataFrame,
     text: str,
@@ -60,7 +70,7 @@ def with_results(
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [*keep, *(f.name for f in fields)]
-    source = docs.select(*keep, F.col(text).alias("_text_in"), *also)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_in"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsift.llm.common import with_results, written
+from leadsift.llm.common import record, with_results, written
 
 #: A word: no ASCII character but digits and lower-case letters.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -127,6 +127,6 @@ def decontamination(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text") -> DataFrame:
     """The rows and columns of `docs` whose text holds no window of a benchmark item."""
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_record"), F.col(text).alias("_text"))
+    tagged = docs.select(record(docs), F.col(text).alias("_text"))
     checked = decontamination(tagged, benchmark, width, "_text")
     return checked.where("NOT contaminated").select("_record.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsift.llm.common import with_results, written
+from leadsift.llm.common import record, unpacked, with_results, written
 from leadsift.llm.graph import components
 
 SEED = 42
@@ -234,8 +234,9 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     all are null; null and empty texts have fingerprint 0 and link with each other like any other;
     repeated rows share a node; an empty table gives an empty result.
     """
-    prints = written(with_fingerprint(docs.drop("fingerprint", "component_id"), width, text, "_bits"), "simhash-prints")
-    nodes = prints.groupBy("_bits").agg(F.min(key).alias("_least"))
+    packed = docs.select(record(docs, without=text), F.col(text).alias("_text"))
+    prints = written(with_fingerprint(packed, width, "_text", "_bits"), "simhash-prints")
+    nodes = prints.groupBy("_bits").agg(F.min(f"_record.`{key}`").alias("_least"))
     rows = nodes.select(F.explode(_block_keys(F.col("_bits"), most)).alias("_key"), F.col("_bits").alias("_id"), F.array("_bits").alias("_words"))
     labels = components(linked(rows, most).distinct())
     groups = written(
@@ -245,7 +246,7 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     least = written(groups.groupBy("_group").agg(F.min("_least").alias("component_id")), "simhash-least")
     named = written(groups.select("_bits", "_group").join(least, "_group").select("_bits", "component_id"), "simhash-named")
     return prints.join(named, "_bits").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in (text, "fingerprint", "component_id")],
+        *unpacked([c for c in docs.columns if c not in (text, "fingerprint", "component_id")]),
         F.lower(F.lpad(F.hex("_bits"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
@@ -281,17 +282,17 @@ def class_keys(hashes: np.ndarray, classes: int = 12) -> list[int]:
 
 
 def near_copies(docs: DataFrame, width: int = 5, most: int = 46, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with `duplicate_of`: null for the row of each group that stays, else that row's key.
+    """`docs` with `is_copy` and `duplicate_of`: null for the row of each group that stays, else that row's key.
 
     A similarity of 0.8 between the sets of five-word shingles is an expected difference of 39 of
     256 SimHash bits; `most` lies about a standard deviation above. Candidates share one of some
     two dozen sums over small residue classes of their shingles; within a key, the Gray-ordered
     index finds what lies within `most` bits. Equal wide fingerprints are one node. The row with the smallest key stays
     (null keys last; among equal keys one row). Null and empty texts are copies of each other;
-    an empty table gives an empty result.
+    an empty table gives an empty result; input columns named like results are replaced.
     """
-    columns = [c for c in docs.columns if c != "duplicate_of"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("_row", F.monotonically_increasing_id())
+    columns = [c for c in docs.columns if c not in ("duplicate_of", "is_copy")]
+    rows = docs.select(record(docs.select(*[F.col(f"`{c}`") for c in columns]), without=text), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     fields = [T.StructField("_words", T.ArrayType(T.LongType())), T.StructField("_keys", T.ArrayType(T.LongType()))]
 
     def fn(texts: list[str]) -> list[list]:
@@ -300,7 +301,7 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 46, key: str = "doc
 
     # The texts are written along: row numbers stay what they are when executors are lost.
     base = written(rows, "near-rows")
-    prints = written(with_results(base.select("_row", F.col(key).alias("_doc"), text), text, fields, fn, drop_text=True), "near-prints")
+    prints = written(with_results(base.select("_row", F.col(f"_record.`{key}`").alias("_doc"), "_text"), "_text", fields, fn, drop_text=True), "near-prints")
     first = F.struct(F.col("_doc").isNull().alias("unknown"), F.col("_doc").alias("doc"), F.col("_row").alias("row"))
     nodes = written(
         prints.groupBy("_words").agg(F.min(first).alias("_first"), F.min("_row").alias("_id"), F.first("_keys").alias("_keys")), "near-nodes"
@@ -316,4 +317,6 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 46, key: str = "doc
     verdict = prints.join(named, "_words").select(
         "_row", F.when(F.col("_stays.row") != F.col("_row"), F.col("_stays")).alias("_stays")
     )
-    return base.join(verdict, "_row").select(*[F.col(f"`{c}`") for c in columns], F.col("_stays.doc").alias("duplicate_of"), F.col("_stays").isNotNull().alias("is_copy"))
+    return base.join(verdict, "_row").select(
+        *unpacked(columns, **{text: F.col("_text")}), F.col("_stays.doc").alias("duplicate_of"), F.col("_stays").isNotNull().alias("is_copy")
+    )
