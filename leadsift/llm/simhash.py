@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +22,12 @@ FANOUT = 16
 FIRST_BLOCK, QUERY_BLOCK = 64, 2048
 #: Rows of one key that are searched together; larger keys are dealt into parts.
 KEY_BLOCK = 16_384
+#: Similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Sets of at most so many shingles meet by a shared shingle, since few votes make SimHash bits unsteady.
+SHORT = 48
+#: Shingles of one group of candidates that are compared together; larger groups are dealt into parts.
+SET_BLOCK = 1 << 20
 MIX = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -160,26 +166,32 @@ def linked(rows: DataFrame, most: int, block: int = KEY_BLOCK) -> DataFrame:
     two parts and no link is lost. Such keys are found by a count with map-side combining. A search
     over n rows gives fewer than n links, which connect the same rows as all its pairs would.
     """
-    width_schema = "a long, b long"
     large = written(
         rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("_key", F.ceil(F.col("_n") / block).alias("_parts")),
         "large-keys",
     )
+    ordered = _dealt(rows, large).repartition("_key").sortWithinPartitions("_key", "_words", "_id")
+
+    def search(column: pa.ListArray) -> np.ndarray:
+        return GrayIndex(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)).roots(most)
+
+    return _searched(ordered, "_words", search)
+
+
+def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """`rows` with the keys of `large` (`_key`, `_parts`) dealt into parts of which every two share a new key."""
     part = F.pmod(F.xxhash64("_id"), F.col("_parts"))
-    meets = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: j != F.col("_part"))
-    split = (
-        rows.join(large, "_key")
-        .withColumn("_part", part)
-        .withColumn("_other", F.explode(meets))
-        .select(F.xxhash64("_key", F.least("_part", "_other"), F.greatest("_part", "_other")).alias("_key"), "_id", "_words")
+    meets = F.transform(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: j != F.col("_part")),
+        lambda j: F.xxhash64("_key", F.least("_part", j), F.greatest("_part", j)),
     )
-    cells = rows.join(large, "_key", "left_anti").select("_key", "_id", "_words").unionByName(split)
-    ordered = cells.repartition("_key").sortWithinPartitions("_key", "_words", "_id")
+    others = [c for c in rows.columns if c != "_key"]
+    keys = F.when(F.col("_parts").isNull(), F.array("_key")).otherwise(meets)
+    return rows.join(F.broadcast(large), "_key", "left").withColumn("_part", part).select(F.explode(keys).alias("_key"), *others)
+
 
-    def search(ids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        root = GrayIndex(words).roots(most)
-        apart = root != np.arange(len(root))
-        return ids[apart], ids[root[apart]]
+def _searched(ordered: DataFrame, values: str, search: Callable[[pa.ListArray], np.ndarray]) -> DataFrame:
+    """Links (`a`, `b`) from each `_id` to that of its root, as `search` finds them in the lists of one `_key`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -192,10 +204,12 @@ def linked(rows: DataFrame, most: int, block: int = KEY_BLOCK) -> DataFrame:
             out = []
             if done > 0:
                 ids = table.column("_id").combine_chunks().to_numpy(zero_copy_only=False)
-                column = table.column("_words").combine_chunks()
-                words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+                column = table.column(values).combine_chunks()
                 for k in np.flatnonzero(np.diff(bounds[: done + 1]) > 1):
-                    out.append(search(ids[bounds[k] : bounds[k + 1]], words[bounds[k] : bounds[k + 1]]))
+                    own = ids[bounds[k] : bounds[k + 1]]
+                    root = search(column.slice(bounds[k], len(own)))
+                    apart = root != np.arange(len(root))
+                    out.append((own[apart], own[root[apart]]))
             return out, table.slice(bounds[max(done, 0)]) if len(key) else None
 
         for batch in batches:
@@ -209,7 +223,7 @@ def linked(rows: DataFrame, most: int, block: int = KEY_BLOCK) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return ordered.mapInArrow(run, width_schema)
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _block_keys(bits: Column, most: int) -> Column:
@@ -264,16 +278,65 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return words
 
 
-def class_keys(hashes: np.ndarray, classes: int = 12) -> list[int]:
+def _prefix(n):
+    """How many of the n smallest-first shingles of a set hold one of those of any similar set."""
+    return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
+
+
+def similar_roots(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each set (ascending distinct `values`, one after the other) the first that it reaches by links of `SIMILAR`.
+
+    Sets meet where their prefixes share a value, which no similar pair can miss, and are compared
+    in full, unless earlier comparisons have already joined them.
+    """
+    n = len(sizes)
+    starts = np.cumsum(sizes) - sizes
+    counts = np.where(sizes > 0, _prefix(sizes), 0)
+    owner = np.repeat(np.arange(n), counts)
+    token = values[np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    place = np.arange(len(owner))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], token[1:] != token[:-1]]), place, 0)) if len(owner) else place
+    later = place[first < place]
+    later = later[np.argsort(owner[later], kind="stable")]
+    root = np.arange(n)
+
+    def compare(x: int, others: np.ndarray) -> None:
+        own, step = values[starts[x] : starts[x] + sizes[x]], 1
+        others = others[SIMILAR[1] * np.minimum(sizes[others], sizes[x]) >= SIMILAR[0] * np.maximum(sizes[others], sizes[x])]
+        while len(others := others[root[others] != root[x]]):
+            for y in others[:step]:
+                if root[y] == root[x]:
+                    continue
+                theirs = values[starts[y] : starts[y] + sizes[y]]
+                common = int((own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs).sum())
+                if common * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * int(sizes[x] + sizes[y]):
+                    least, most = sorted((root[x], root[y]))
+                    root[root == most] = least
+            others, step = others[step:], 2 * step
+
+    for at in np.split(later, np.flatnonzero(np.diff(owner[later])) + 1) if len(later) else ():
+        x = owner[at[0]]
+        compare(x, np.unique(owner[at - 1]))
+        met = np.concatenate([owner[first[i] : i] for i in at])
+        compare(x, np.unique(met[root[met] != root[x]]))
+    return root
+
+
+def class_keys(hashes: np.ndarray, classes: int = 20) -> list[int]:
     """Keys of which near copies share some: sums of the distinct shingles in a few residue classes.
 
-    The modulus is the power of two that leaves about five shingles in a class, and the next one
-    (two for short texts), so texts of nearly the same length have a modulus in common.
+    The modulus is the power of two that leaves about five shingles in a class, and the next one,
+    so texts of nearly the same length have a modulus in common. Sets of at most `SHORT` shingles
+    have none: see `short_keys`.
     """
     distinct = np.unique(hashes)
-    level = max(0, int(np.floor(np.log2(max(len(distinct), 1) / 5)))) if len(distinct) else 0
+    if len(distinct) <= SHORT:
+        return []
+    level = int(np.floor(np.log2(len(distinct) / 5)))
     keys = []
-    for k in range(level, level + (3 if len(distinct) < 40 else 2)):
+    for k in range(level, level + 2):
         residue = distinct >> np.uint64(8) & np.uint64((1 << k) - 1)
         for g in range(min(1 << k, classes)):
             if len(members := distinct[residue == g]):
@@ -281,33 +344,78 @@ def class_keys(hashes: np.ndarray, classes: int = 12) -> list[int]:
     return keys
 
 
-def near_copies(docs: DataFrame, width: int = 5, most: int = 46, key: str = "doc_id", text: str = "text") -> DataFrame:
+def short_keys(hashes: np.ndarray) -> list[int]:
+    """The smallest shingles of a short set: two similar sets, one of at most `SHORT`, share one of them."""
+    distinct = np.unique(hashes)
+    n = len(distinct)
+    if not n or n * SIMILAR[0] > SHORT * SIMILAR[1]:
+        return []
+    return distinct[: _prefix(n)].view(np.int64).tolist()
+
+
+def similar(sets: DataFrame, sizes: DataFrame, block: int = SET_BLOCK) -> DataFrame:
+    """Links (`a`, `b`) that connect, within each `_key`, the sets of at least `SIMILAR`.
+
+    `sets` has `_key` (long), `_id` (long) and `_set` (ascending distinct longs as unsigned);
+    `sizes` has `_key` and the size `_n` of each. Keys of more than `block` values are dealt into
+    parts that meet pairwise, so a task holds about two parts whatever the size of a key.
+    """
+    large = written(
+        sizes.groupBy("_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") > block).select("_key", F.ceil(F.col("_n") / block).alias("_parts")),
+        "large-groups",
+    )
+
+    def search(column: pa.ListArray) -> np.ndarray:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return similar_roots(sizes, column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+
+    return _searched(_dealt(sets, large).repartition("_key").sortWithinPartitions("_key", "_id"), "_set", search)
+
+
+def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `is_copy` and `duplicate_of`: null for the row of each group that stays, else that row's key.
 
-    A similarity of 0.8 between the sets of five-word shingles is an expected difference of 39 of
-    256 SimHash bits; `most` lies about a standard deviation above. Candidates share one of some
-    two dozen sums over small residue classes of their shingles; within a key, the Gray-ordered
-    index finds what lies within `most` bits. Equal wide fingerprints are one node. The row with the smallest key stays
+    Documents link when the sets of their five-word shingles have a Jaccard similarity of at least
+    0.8. That is an expected difference of 39 of 256 SimHash bits; `most` lies over three standard
+    deviations above and only says which documents are compared. Candidates share one of some
+    forty sums over small residue classes of their shingles, and the Gray-ordered index finds what
+    lies within `most` bits; short texts are candidates when they share one of their smallest
+    shingles. What candidates connect is compared set by set, and only links of 0.8 remain. Equal
+    wide fingerprints are one node. The row with the smallest key stays
     (null keys last; among equal keys one row). Null and empty texts are copies of each other;
     an empty table gives an empty result; input columns named like results are replaced.
     """
     columns = [c for c in docs.columns if c not in ("duplicate_of", "is_copy")]
     rows = docs.select(record(docs.select(*[F.col(f"`{c}`") for c in columns]), without=text), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     fields = [T.StructField("_words", T.ArrayType(T.LongType())), T.StructField("_keys", T.ArrayType(T.LongType()))]
+    fields += [T.StructField("_short", T.ArrayType(T.LongType())), T.StructField("_n", T.LongType())]
 
     def fn(texts: list[str]) -> list[list]:
         hashes = [shingle_hashes(t, width) for t in texts]
-        return [[wide_fingerprint(h) for h in hashes], [class_keys(h) for h in hashes]]
+        sets = [np.unique(h) for h in hashes]
+        return [[wide_fingerprint(h) for h in hashes], [class_keys(h) for h in sets], [short_keys(h) for h in sets], [len(h) for h in sets]]
+
+    def sets_of(texts: list[str]) -> list[list]:
+        return [[np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts]]
 
     # The texts are written along: row numbers stay what they are when executors are lost.
     base = written(rows, "near-rows")
     prints = written(with_results(base.select("_row", F.col(f"_record.`{key}`").alias("_doc"), "_text"), "_text", fields, fn, drop_text=True), "near-prints")
     first = F.struct(F.col("_doc").isNull().alias("unknown"), F.col("_doc").alias("doc"), F.col("_row").alias("row"))
     nodes = written(
-        prints.groupBy("_words").agg(F.min(first).alias("_first"), F.min("_row").alias("_id"), F.first("_keys").alias("_keys")), "near-nodes"
+        prints.groupBy("_words").agg(
+            F.min(first).alias("_first"), F.min_by(F.struct("_keys", "_short", "_n"), "_row").alias("_of"), F.min("_row").alias("_id")
+        ).select("_words", "_first", "_id", "_of.*"),
+        "near-nodes",
     )
-    candidates = nodes.select(F.explode("_keys").alias("_key"), "_id", "_words")
-    labels = components(linked(candidates, most).distinct())
+    # One pass for both: rows of a short key agree in all bits.
+    near = nodes.select(F.explode("_keys").alias("_key"), "_id", "_words")
+    near = near.unionByName(nodes.select(F.explode("_short").alias("_key"), "_id", F.array(*[F.lit(0).cast("long")] * len(MIX)).alias("_words")))
+    met = components(linked(near, most).distinct()).select(F.col("node").alias("_id"), F.col("label").alias("_key"))
+    met = written(nodes.select("_id", "_n").join(met, "_id"), "near-met")
+    texts = met.select("_key", "_id").join(base.select(F.col("_row").alias("_id"), "_text"), "_id")
+    sets = with_results(texts, "_text", [T.StructField("_set", T.ArrayType(T.LongType()))], sets_of, drop_text=True)
+    labels = components(similar(sets, met).distinct())
     groups = written(
         nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select("_words", "_first", F.coalesce("label", "_id").alias("_group")),
         "near-groups",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from leadsift.llm import warc
+from leadsift.llm import simhash, warc
 from leadsift.llm.graph import components
 from leadsift.llm.simhash import GrayIndex, gray_rank, linked, near_copies, shingle_hashes, simhash_components
 
@@ -116,6 +116,53 @@ def test_near_copies_keep_one_of_each_group(spark, docs):
     assert near_copies(docs.limit(0)).count() == 0
 
 
+def brute_copies(texts):
+    """The label of each text: the first that it reaches by links of similarity 0.8 of five-word shingles."""
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] < label[i] and 5 * len(a & b) >= 4 * len(a | b):
+                    label[i], changed = label[j], True
+    return label
+
+
+def copies_at(rng, shingles, similarity, tag):
+    """Two texts of about so many shingles each whose sets have about the similarity."""
+    words = [f"{tag}w{i}" for i in range(shingles + 4)]
+    changed, k = list(words), 0
+    sets = set(shingle_hashes(" ".join(words), 5).tolist())
+    order = rng.permutation(len(words))
+    while k < len(words):
+        step = list(changed)
+        step[order[k]] = f"{tag}x{k}"
+        other = set(shingle_hashes(" ".join(step), 5).tolist())
+        if len(sets & other) < similarity * len(sets | other):
+            break
+        changed, k = step, k + 1
+    return " ".join(words), " ".join(changed)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_near_copies_are_exactly_those_of_similarity_08(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.similar, "__defaults__", (block,))
+    rng, texts = np.random.default_rng(3), []
+    for n in [*range(1, 13), 20, 39, 45, 48, 49, 55, 60, 61, 80, 100, 150, 200, 400] * 2:
+        for s in (0.65, 0.75, 0.78, 0.80, 0.82):
+            texts += copies_at(rng, n, s, f"{len(texts)}t")
+        words = [f"{len(texts)}e{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join([*words, *(f"{len(texts)}f{i}" for i in range(n // 4))])]
+        texts.append(" ".join([*words, *(f"{len(texts)}g{i}" for i in range(n // 4 + 1))]))
+    labels = brute_copies(texts)
+    got = {r.doc_id: r.duplicate_of for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: None if g == i else g for i, g in enumerate(labels)}
+    assert sum(v is not None for v in want.values()) > 60
+    assert {i: (len(texts[i].split()), got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 PAGES = [
     (1, "http://www.b.example/x", "<p>same</p>"), (5, "https://a.example/y?q=1", "<p>same</p>"), (3, "bad url\r\nX: y", "<p>same</p>"),
     (7, None, None), (8, "http://a.example/", ""), (9, "http://a.example/", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\nümlaut"),
