@@ -267,7 +267,7 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
 
 
 def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """256 SimHash bits from the 64-bit shingle hashes, as four signed words."""
+    """256 SimHash bits from the 64-bit shingle hashes (each as often as it is given), as four signed words."""
     words = []
     for salt in MIX:
         mixed = hashes ^ salt
@@ -278,6 +278,11 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return words
 
 
+def set_name(distinct: np.ndarray) -> bytes:
+    """The hash of a set of shingles by which equal sets are found."""
+    return xxhash.xxh3_128_digest(distinct.tobytes(), SEED)
+
+
 def _prefix(n):
     """How many of the n smallest-first shingles of a set hold one of those of any similar set."""
     return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
@@ -381,19 +386,19 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc
     forty sums over small residue classes of their shingles, and the Gray-ordered index finds what
     lies within `most` bits; short texts are candidates when they share one of their smallest
     shingles. What candidates connect is compared set by set, and only links of 0.8 remain. Equal
-    wide fingerprints are one node. The row with the smallest key stays
+    sets, whose 128-bit hashes agree, are one node; repetitions within a text count nowhere. The row with the smallest key stays
     (null keys last; among equal keys one row). Null and empty texts are copies of each other;
     an empty table gives an empty result; input columns named like results are replaced.
     """
     columns = [c for c in docs.columns if c not in ("duplicate_of", "is_copy")]
     rows = docs.select(record(docs.select(*[F.col(f"`{c}`") for c in columns]), without=text), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    fields = [T.StructField("_words", T.ArrayType(T.LongType())), T.StructField("_keys", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("_name", T.BinaryType()), T.StructField("_words", T.ArrayType(T.LongType())), T.StructField("_keys", T.ArrayType(T.LongType()))]
     fields += [T.StructField("_short", T.ArrayType(T.LongType())), T.StructField("_n", T.LongType())]
 
     def fn(texts: list[str]) -> list[list]:
-        hashes = [shingle_hashes(t, width) for t in texts]
-        sets = [np.unique(h) for h in hashes]
-        return [[wide_fingerprint(h) for h in hashes], [class_keys(h) for h in sets], [short_keys(h) for h in sets], [len(h) for h in sets]]
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        columns = zip(*[(set_name(h), wide_fingerprint(h), class_keys(h), short_keys(h), len(h)) for h in sets], strict=True)
+        return [list(c) for c in columns] if sets else [[] for _ in fields]
 
     def sets_of(texts: list[str]) -> list[list]:
         return [[np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts]]
@@ -403,9 +408,9 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc
     prints = written(with_results(base.select("_row", F.col(f"_record.`{key}`").alias("_doc"), "_text"), "_text", fields, fn, drop_text=True), "near-prints")
     first = F.struct(F.col("_doc").isNull().alias("unknown"), F.col("_doc").alias("doc"), F.col("_row").alias("row"))
     nodes = written(
-        prints.groupBy("_words").agg(
-            F.min(first).alias("_first"), F.min_by(F.struct("_keys", "_short", "_n"), "_row").alias("_of"), F.min("_row").alias("_id")
-        ).select("_words", "_first", "_id", "_of.*"),
+        prints.groupBy("_name").agg(
+            F.min(first).alias("_first"), F.min_by(F.struct("_words", "_keys", "_short", "_n"), "_row").alias("_of"), F.min("_row").alias("_id")
+        ).select("_name", "_first", "_id", "_of.*"),
         "near-nodes",
     )
     # One pass for both: rows of a short key agree in all bits.
@@ -417,12 +422,12 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc
     sets = with_results(texts, "_text", [T.StructField("_set", T.ArrayType(T.LongType()))], sets_of, drop_text=True)
     labels = components(similar(sets, met).distinct())
     groups = written(
-        nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select("_words", "_first", F.coalesce("label", "_id").alias("_group")),
+        nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select("_name", "_first", F.coalesce("label", "_id").alias("_group")),
         "near-groups",
     )
     stays = written(groups.groupBy("_group").agg(F.min("_first").alias("_stays")), "near-stays")
-    named = written(groups.select("_words", "_group").join(stays, "_group").select("_words", "_stays"), "near-named")
-    verdict = prints.join(named, "_words").select(
+    named = written(groups.select("_name", "_group").join(stays, "_group").select("_name", "_stays"), "near-named")
+    verdict = prints.join(named, "_name").select(
         "_row", F.when(F.col("_stays.row") != F.col("_row"), F.col("_stays")).alias("_stays")
     )
     return base.join(verdict, "_row").select(

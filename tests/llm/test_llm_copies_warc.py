@@ -163,6 +163,19 @@ def test_near_copies_are_exactly_those_of_similarity_08(spark, monkeypatch, bloc
     assert {i: (len(texts[i].split()), got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def test_near_copies_count_a_repeated_shingle_once(spark):
+    texts = []
+    for g in range(20):
+        words = [f"{g}r{i}" for i in range(300)]
+        texts += [" ".join(words), " ".join(words + words[:100] * 3)]  # the same set but for the seams
+    texts += [" ".join(["la"] * 400 + [f"{g}s{i}" for i in range(150)]) for g in range(6)]  # one shingle in common
+    texts += ["la " * 50, "la " * 70]
+    labels = brute_copies(texts)
+    got = {r.doc_id: r.duplicate_of for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: None if g == i else g for i, g in enumerate(labels)}
+    assert [labels[i] for i in range(40)] == [i // 2 * 2 for i in range(40)] and labels[40:] == [*range(40, 46), 46, 46]
+
+
 PAGES = [
     (1, "http://www.b.example/x", "<p>same</p>"), (5, "https://a.example/y?q=1", "<p>same</p>"), (3, "bad url\r\nX: y", "<p>same</p>"),
     (7, None, None), (8, "http://a.example/", ""), (9, "http://a.example/", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\nümlaut"),
