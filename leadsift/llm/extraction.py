@@ -19,7 +19,8 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: One attribute with its value, so that no word of a value passes for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Raw content up to the end tag; none of it is text of the page.
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas title".split())
@@ -49,6 +50,7 @@ class Element:
     path: str
     parent: Element | None
     side: bool
+    named: bool = False
     weight: float = 0.0
     children: list[Element] = field(default_factory=list)
 
@@ -60,20 +62,51 @@ class Block:
     links: int
 
 
-def _is_side(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in SIDE or (tag == "header" and not in_article):
-        return True
+def _is_side(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is beside the article for sure, and whether its name says so (or it is a form)."""
+    if (tag in SIDE and tag != "form") or (tag == "header" and not in_article):
+        return True, False
+    named = tag == "form"
     if not attrs.strip() or tag in ("html", "body", "main", "article"):
-        return False
+        return False, named
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name in ("class", "id", "role") and SIDE_NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
-    return False
+            named = True
+    return False, named
+
+
+def _settle_names(root: Element, blocks: list[Block]) -> None:
+    """Mark what lies below side names and forms, but not those that wrap the page.
+
+    One that holds over half of the page's unlinked text counts as a wrapper if the article, main
+    or h1 element is in it, or if it holds `SHARE` of the text and none of these is elsewhere.
+    """
+    text, heads = defaultdict(int), defaultdict(int)
+    for b in blocks:
+        e = b.element
+        while e is not None and not b.element.side:
+            text[id(e)] += max(0, len(b.text) - b.links)
+            e = e.parent
+    order = [root]
+    for e in order:
+        order += e.children
+    for e in reversed(order):
+        heads[id(e)] += e.tag in ("article", "main", "h1") and not e.side
+        if e.parent is not None:
+            heads[id(e.parent)] += heads[id(e)]
+    whole = text[id(root)]
+    for e in order:
+        if e.parent is not None and e.parent.side:
+            e.side = True
+        elif e.named and not e.side:
+            size = text[id(e)]
+            wraps = 2 * size > whole and (heads[id(e)] > 0 or (size >= SHARE * whole and not heads[id(root)]))
+            e.side = not wraps
 
 
 def blocks_of(page: str) -> tuple[Element, list[Block]]:
@@ -97,6 +130,8 @@ def blocks_of(page: str) -> tuple[Element, list[Block]]:
         at = m.end()
         if (chunk := m["text"]) is not None:
             decoded = entities.unescape(chunk)
+            if stack[-1].tag == "head" and not decoded.isspace():
+                close(len(stack) - 1)
             text.append(decoded)
             links += len(decoded) * (anchors > 0)
             continue
@@ -126,15 +161,19 @@ def blocks_of(page: str) -> tuple[Element, list[Block]]:
             flush()
             if stack[-1].tag == "p":
                 close(len(stack) - 1)
+            if stack[-1].tag == "head":  # its end tag may be left out
+                close(len(stack) - 1)
             if tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].tag == tag:
                 close(len(stack) - 1)
             if tag not in VOID:
                 above = stack[-1]
                 inside = any(e.tag in ("article", "main") for e in stack)
-                new = Element(tag, f"{above.path}/{tag}", above, above.side or _is_side(tag, m["attrs"], inside))
+                side, named = _is_side(tag, m["attrs"], inside)
+                new = Element(tag, f"{above.path}/{tag}", above, above.side or side, named)
                 above.children.append(new)
                 stack.append(new)
     flush()
+    _settle_names(root, blocks)
     return root, blocks
 
 

@@ -154,3 +154,19 @@ def test_main_text_of_pages(spark):
     got = extracted(spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()
     assert [r.text for r in got][:3] == [want, "", ""] and all(r.n_chars == len(r.text) for r in got) and got[4].n_chars == 239_999
     assert extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_in_a_wrapper_or_without_head_end_keep_their_article():
+    body = "<h1>A title</h1>" + "".join(f"<p>Sentence {i}, which is long enough, says one thing; then another.</p>" for i in range(6))
+    want = main_text(f"<html><body><div>{body}</div></body></html>")
+    assert want.startswith("A title Sentence 0") and want.endswith("another.")
+    aside = "<div class='sidebar'><p>Beside the text, a few words.</p></div>"
+    assert main_text(f"<html><head><title>t</title><meta charset=utf-8><body><div>{body}</div></body></html>") == want
+    for name in ("content with-sidebar", "no-sidebar", "layout sidebar-right"):
+        assert main_text(f"<html><body><div class='{name}'><div>{body}</div>{aside}</div></body></html>") == want
+    assert main_text(f"<html><body><form action='x.aspx'>{aside}<div>{body}</div></form></body></html>") == want
+    for attrs in ("title='the hidden valley'", "onclick='toggleHidden(hidden)'", "data-hidden='false'"):
+        assert main_text(f"<html><body><div {attrs}>{body}</div></body></html>") == want
+    assert main_text(f"<html><body><div hidden>{body}</div></body></html>") == ""
+    comments = "<div class='comments'>" + "<p>I think so too, and will say it at length, again and again.</p>" * 40 + "</div>"
+    assert main_text(f"<html><body><article>{body}</article>{comments}</body></html>") == want
