@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from leadsift.llm.common import table, utf8_bytes
 from leadsift.llm.decontaminate import decontamination
 from leadsift.llm.extraction import extracted
+from leadsift.llm.imatch import imatch
 from leadsift.llm.mixing import Mix
+from leadsift.llm.periodic import text_runs
 from leadsift.llm.quality import quality
 from leadsift.llm.secrets import secret_spans
 from leadsift.llm.sharding import shuffled_shards
@@ -18,6 +21,7 @@ from leadsift.llm.simhash import simhash_components
 from leadsift.llm.suffixes import repeated_strings
 from leadsift.llm.toxicity import toxicity
 from leadsift.llm.warc import archived
+from leadsift.llm.whitening import whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +143,30 @@ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (left_words <
 )
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
+
+
+def with_run(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The words of every tenth document, by a hash of its id, made periodic from some place on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op11_periodic_runs")
+def periodic_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text_runs(docs, also=("doc_id",), edit=with_run).drop("text")
+
+
+@query("op12_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
