@@ -46,27 +46,18 @@ def run_cycle(
 ) -> None:
     """Ingest, rescore, enrich, alert, apply commands; an error stops the cycle.
 
-    Every step commits a state version tagged with the batch, so a replayed batch
-    resumes after the last finished step and never counts a sighting twice. Commands of
-    other chats than ``chat_id`` are ignored; ``reply`` gets a row for each command. A
-    ``stream`` name belongs to one checkpoint: a new checkpoint needs a new name.
+    Ingest is tagged with the batch, so a replay never counts a sighting twice; the later steps
+    give the same rows when they are repeated. Each step rewrites only the buckets of the rows it
+    changes. Commands of other chats than ``chat_id`` are ignored; ``reply`` gets a row for each
+    command. A ``stream`` name belongs to one checkpoint: a new checkpoint needs a new name.
     """
-
-    def step(name: str, change: Callable[[], DataFrame]) -> None:
-        if not table.applied(f"{stream}/{name}", batch_id):
-            table.write(change(), f"{stream}/{name}", batch_id)
-
-    table.upsert(
-        find_postings(messages, as_of, rules), as_of, stream=f"{stream}/ingest", batch_id=batch_id
-    )
-    step("rescore", lambda: rescore(table.read(), as_of, rules).apply())
+    table.upsert(find_postings(messages, as_of, rules), as_of, stream=f"{stream}/ingest", batch_id=batch_id)
+    changed = rescore(table.read(), as_of, rules).preview
+    table.update(lambda state: rescore(state, as_of, rules).apply(), changed)
     if snapshots is not None:
-        def enrich() -> DataFrame:
-            state = table.read()
-            due = description_worklist(state, options.description_limit, options.include_investigate)
-            return fetch_descriptions(state, due, snapshots, as_of)
-
-        step("enrich", enrich)
+        due = description_worklist(table.read(), options.description_limit, options.include_investigate)
+        due = table.staged(due)
+        table.update(lambda state: fetch_descriptions(state, due, snapshots, as_of), due)
     if send is not None:
         send(
             alert_digest(
@@ -80,7 +71,7 @@ def run_cycle(
         mine = parse_commands(commands, chat_id)
         if reply is not None:
             reply(command_replies(table.read(), mine))
-        step("commands", lambda: apply_commands(table.read(), mine, as_of))
+        table.update(lambda state: apply_commands(state, mine, as_of), mine.filter("id IS NOT NULL"))
 
 
 def cycle_stream(
@@ -101,16 +92,16 @@ def cycle_stream(
 
 def command_stream(
     updates: DataFrame, table: StateTable, outbox: str, as_of: Callable[[], object],
-    checkpoint: str, chat_id: str, stream: str = "commands",
+    checkpoint: str, chat_id: str,
 ) -> DataStreamWriter:
-    """Command feed -> status updates and reply rows (one folder per batch)."""
+    """Command feed -> status updates and reply rows (one folder per batch); repeats change nothing."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         commands = parse_commands(batch, chat_id)
         replies = command_replies(table.read(), commands)
         replies.write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
-        if not table.applied(stream, batch_id):
-            table.write(apply_commands(table.read(), commands, as_of()), stream, batch_id)
+        now = as_of()
+        table.update(lambda state: apply_commands(state, commands, now), commands.filter("id IS NOT NULL"))
 
     return (
         updates.writeStream.foreachBatch(each)

@@ -1,14 +1,15 @@
 """Snapshots, replays, maintenance and streams."""
 
 import json
+import shutil
+from pathlib import Path
 
-import pytest
 from pyspark.sql import functions as F
 
 from leadsift.operators import state as st
 from leadsift.operators.commands import command_replies, parse_commands
 from leadsift.sources.landing import read_updates, stream_updates
-from leadsift.sources.snapshots import Commit, CommitConflict, StateTable
+from leadsift.sources.snapshots import StateTable
 from leadsift.streaming.jobs import command_stream, cycle_stream
 
 DAY1, DAY2 = "2026-07-01T00:00:00", "2026-07-02T00:00:00"
@@ -59,18 +60,74 @@ def test_old_state_gets_ids_and_counts(spark):
     assert row.id == base.first().id and row.seen_count == 1
 
 
-def test_two_writers_and_an_unfinished_commit(spark, tmp_path):
-    table = StateTable(spark, str(tmp_path / "state"))
-    table.upsert(scored(spark, ("td", "Data Analyst")), DAY1)
-    before = sorted(map(str, table.read().collect()))
-    stale = table.last_commit
-    table.upsert(scored(spark, ("bmo", "ML Engineer")), DAY1)
-    other = StateTable(spark, table.path)
-    first = Commit(1, other._commits()[0], {})
-    other.last_commit = lambda: first  # a writer that has not seen version 2
-    with pytest.raises(CommitConflict):
-        other.write(st.empty_state(spark))
-    assert table.read().count() == 2 and stale().version == 2 and len(before) == 1
+def bucket_files(table):
+    """Data files of each bucket of the newest generation."""
+    folder = Path(table.path) / table._generations()[-1]
+    return {b.name: {f.name for f in b.glob("*.parquet")} for b in folder.glob("bucket=*")}
+
+
+def test_a_batch_rewrites_the_buckets_of_its_rows_alone(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"), buckets=32)
+    table.upsert(scored(spark, *[(f"firm {i}", "Data Scientist") for i in range(12)]), DAY1)
+    before, state = bucket_files(table), {r.id: r for r in table.read().collect()}
+    assert len(before) == 32 and len(state) == 12
+    table.upsert(scored(spark, ("firm 3", "Data Scientist"), ("another", "ML Engineer")), DAY2)
+    after = bucket_files(table)
+    rewritten = {b for b in before if before[b] != after[b]}
+    touched = table.read().where("last_seen_at > '2026-07-01 12:00:00'").select(table.bucket()).distinct().collect()
+    assert rewritten == {f"bucket={r.bucket}" for r in touched} and 1 <= len(rewritten) <= 2
+    rows = table.read().collect()
+    assert len(rows) == 13 and sorted(r.seen_count for r in rows) == [1] * 12 + [2]
+    assert sum(state.get(r.id) == r for r in rows) == 11
+
+    one = next(r for r in rows if r.seen_count == 2)
+    updates = spark.createDataFrame([(one.id, "Applied", 1)], "id bigint, status string, update_id bigint")
+    table.update(lambda state: st.set_status(state, updates, DAY2), updates)
+    last = bucket_files(table)
+    assert [b for b in last if last[b] != after[b]] == [f"bucket={table.read().where(F.col('id') == one.id).select(table.bucket()).first()[0]}"]
+    assert table.read().where("status = 'Applied'").count() == 1 and len(table._generations()) == 1
+
+
+def test_a_cut_off_write_is_replayed_bucket_by_bucket(spark, tmp_path):
+    """Buckets of a batch that were written before the failure keep it, the others get it once."""
+    batch = scored(spark, *[(f"firm {i}", "Data Scientist") for i in range(8)])
+    table = StateTable(spark, str(tmp_path / "state"), buckets=16)
+    table.upsert(batch, DAY1, stream="s", batch_id=0)
+    folder = Path(table.path) / table._generations()[-1]
+    bucket = table.read().select(table.bucket()).first().bucket
+    kept = tmp_path / "kept"
+    shutil.copytree(folder / f"bucket={bucket}", kept)
+    table.upsert(batch, DAY2, stream="s", batch_id=1)
+    for file in (folder / f"bucket={bucket}").iterdir():
+        file.unlink()
+    for file in kept.iterdir():
+        shutil.copy(file, folder / f"bucket={bucket}" / file.name)
+    spark.catalog.refreshByPath(str(folder))
+    assert {r.seen_count for r in table.read().collect()} == {1, 2}
+    for _ in range(2):
+        table.upsert(batch, DAY2, stream="s", batch_id=1)
+        assert [r.seen_count for r in table.read().collect()] == [2] * 8
+
+
+def test_rows_that_change_buckets_make_a_generation(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"), buckets=16)
+    batch = scored(spark, ("cohere", "Applied AI Engineer"), ("td", "Data Analyst"))
+    table.upsert(batch, DAY1, stream="s", batch_id=4)
+
+    def merged(state):
+        return st.collapse_fingerprints(state.withColumn("job_fingerprint", F.lit("x")))
+
+    ids = table.read().select("id")
+    table.update(merged, ids)
+    (row,) = table.read().collect()
+    assert row.seen_count == 2 and len(table._generations()) == 2
+    table.upsert(batch, DAY2, stream="s", batch_id=4)  # the tags moved on with the generation
+    assert table.read().count() == 1
+    table.replace(table.staged(table.read()))
+    assert len(table._generations()) == 2 and StateTable(spark, table.path, buckets=3).buckets == 16
+    # A generation that Spark has not finished is not read.
+    (Path(table.path) / "gen=9999999999-16").mkdir()
+    assert table.read().count() == 1
 
 
 def test_streams_match_batch(spark, tmp_path):
