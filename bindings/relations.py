@@ -286,6 +286,19 @@ def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return df
 
 
+def streamed(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """The same relation with base table ``name`` read as a stream of its files.
+
+    The path is a pattern, since a file stream takes a folder or a pattern but no single file.
+    """
+    view = f"streamed_{name}"
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]").createOrReplaceTempView(view)
+    names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | {name: view}
+    df = spark.sql(_fill(sql, names | {"hours": _STATE_HOURS["spark"], "spread": ""}))
+    return df.select(F.inline(F.array(F.struct(*df.columns)))) if sql in (ALERTS, CARD_MAIL) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table; one too small to split is spread over the cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

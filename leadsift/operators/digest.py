@@ -22,6 +22,7 @@ from leadsift.operators.eligibility import (
     needs_description,
 )
 from leadsift.rules import APPLY, INVESTIGATE, SKIP
+from leadsift.sources.shared import shared_folder
 
 ALERT_WHY_CHARS = 260
 
@@ -46,6 +47,28 @@ def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_rows(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """All rows numbered from 1 in ``order``, without bringing them into one task.
+
+    Rows go to ranges of the order; each range is numbered on its own, from the number of rows in
+    the ranges before it. The ranges are written to the shared folder, so that the numbers agree
+    with the counts also after a lost executor. Rows equal in all of ``order`` share a range and
+    are numbered in any order, so end it with a key.
+    """
+    folder = shared_folder(rows.sparkSession, "ranked")
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(folder)
+    kept = rows.sparkSession.read.schema(ranged.schema).parquet(folder)
+    counts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each range: as many as there were partitions, whatever the number of rows.
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        kept.withColumn("_inside", inside).join(F.broadcast(before), "_range")
+        .select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+    )
+
+
 def ranked_digest(
     scored: DataFrame,
     limit: int = 10,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadsift.functions.dates import timestamp
 from leadsift.functions.html import looks_like_html, page_text
 from leadsift.functions.text import count_hits, has_any, let, paragraphs, squeeze
 from leadsift.functions.urls import url_scheme
@@ -102,20 +103,58 @@ def describe_pages(
     )
 
 
+def snapshot_at(wanted: DataFrame, snapshots: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """As-of join: for each (url, at) of ``wanted`` the ``columns`` of the last snapshot not after ``at``.
+
+    Both sides go into one time line per URL, on which the last snapshot is carried forward: one
+    shuffle, and no row meets more than its own snapshot. Pages travel as a key: the line holds
+    (url, fetched_at) alone, cut to the wanted URLs, and the pages themselves are joined to the
+    chosen snapshots. Times of one URL are spread over as many tasks as it has days: the carry
+    runs within a day first, and days pass on their last snapshot. Of two snapshots of one moment
+    the one with the lesser final URL counts.
+    """
+    page = F.struct(*[F.col(c) for c in columns])
+    asked = wanted.select("url", "at").distinct()
+    kept = snapshots.where("url IS NOT NULL AND fetched_at IS NOT NULL").join(asked.select("url").distinct(), "url", "left_semi")
+    moments = kept.select("url", F.col("fetched_at").alias("at"), F.col("fetched_at").alias("snapshot_at")).distinct()
+    line = moments.withColumn("asked", F.lit(False)).unionByName(
+        asked.withColumns({"snapshot_at": F.lit(None).cast("timestamp"), "asked": F.lit(True)})
+    )
+    line = line.withColumn("day", F.to_date("at"))
+    in_day = Window.partitionBy("url", "day").orderBy("at", F.col("snapshot_at").asc_nulls_last())
+    carried = line.withColumn("_same_day", F.last("snapshot_at", ignorenulls=True).over(in_day))
+    days = line.groupBy("url", "day").agg(F.max("snapshot_at").alias("_last"))
+    before = Window.partitionBy("url").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = days.select("url", "day", F.last("_last", ignorenulls=True).over(before).alias("_earlier"))
+    chosen = (
+        carried.where("asked").join(earlier, ["url", "day"])
+        .select("url", "at", F.coalesce("_same_day", "_earlier").alias("fetched_at"))
+        .where("fetched_at IS NOT NULL")
+    )
+    best = kept.join(chosen.select("url", "fetched_at").distinct(), ["url", "fetched_at"], "left_semi")
+    best = keep_first(best, [F.col("url"), F.col("fetched_at")], [F.col("final_url")]).select("url", "fetched_at", page.alias("_page"))
+    return chosen.join(best, ["url", "fetched_at"]).select("url", "at", "fetched_at", "_page.*")
+
+
 def fetch_results(
-    worklist: DataFrame, snapshots: DataFrame, extractor: Callable[[Column], Column] | None = None
+    worklist: DataFrame, snapshots: DataFrame, extractor: Callable[[Column], Column] | None = None, as_of=None
 ) -> DataFrame:
     """Work-list rows joined with the text of their page.
 
     Only wanted pages are read into text, once per URL, before the join back; a
-    page shared by very many rows is extracted a single time.
+    page shared by very many rows is extracted a single time. Snapshots with a
+    ``fetched_at`` are those last fetched not after ``as_of``, or the newest without it.
     """
     due = worklist.select("id", "source_url", "job_link", fetch_target().alias("_t")).select(
         "id", "_t.url", "_t.source", F.coalesce(F.nullif("source_url", F.lit("")), "job_link").alias("link")
     )
     wanted = due.select("url").filter("url IS NOT NULL").distinct()
-    order = [F.desc("fetched_at")] if "fetched_at" in snapshots.columns else [F.col("final_url")]
-    pages = keep_first(snapshots.join(wanted, "url", "left_semi"), [F.col("url")], order)
+    if as_of is not None and "fetched_at" in snapshots.columns:
+        asked = wanted.withColumn("at", timestamp(as_of))
+        pages = snapshot_at(asked, snapshots, ("final_url", "content_type", "html", "fetch_error"))
+    else:
+        order = [F.desc("fetched_at")] if "fetched_at" in snapshots.columns else [F.col("final_url")]
+        pages = keep_first(snapshots.join(wanted, "url", "left_semi"), [F.col("url")], order)
     texts = describe_pages(pages, extractor).withColumn("_seen", F.lit(True))
     # Blocked rows have no URL and may be most of the list: they take no part in the join.
     found = due.filter("url IS NOT NULL").join(texts, "url", "left")
@@ -142,4 +181,4 @@ def fetch_descriptions(
     extractor: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """State after reading the pages of a work list."""
-    return set_descriptions(state, fetch_results(worklist, snapshots, extractor), as_of)
+    return set_descriptions(state, fetch_results(worklist, snapshots, extractor, as_of), as_of)

@@ -50,33 +50,58 @@ def headers_first(
     return relevant_messages(kept.join(bodies, "source_id"), rules)
 
 
-def allowed_by_list(messages: DataFrame, allowlist: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+#: Characters of a piece in the index of long lists.
+GRAM = 4
+
+
+def _grams(text: Column, width: int) -> Column:
+    """Distinct pieces of ``width`` characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - width + 1)
+    return F.when(F.length(text) >= width, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(width)))))
+
+
+def contained_tokens(texts: DataFrame, tokens: DataFrame, width: int = GRAM) -> DataFrame:
+    """(text, token) for each token that a text contains; ``texts(text)``, ``tokens(token)`` distinct.
+
+    An inverted index: a token is filed under that of its pieces which the fewest texts have, and
+    meets only the texts with this piece; the match itself is tested. Tokens shorter than a piece
+    are pieces of their own length, looked up as a whole. A piece that many texts share and many
+    tokens are filed under is an ordinary skewed key of an equi join, which adaptive execution
+    splits; no nested loop is planned. Blank tokens match nothing.
+    """
+    pieces = texts.select("text", F.explode(_grams(F.col("text"), width)).alias("piece"))
+    # One row for each piece of the texts; tokens with a piece that no text has cannot match.
+    spread = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    long = tokens.where(F.length("token") >= width)
+    filed = (
+        long.select("token", F.explode(_grams(F.col("token"), width)).alias("piece"))
+        .join(spread, "piece", "left")
+        .groupBy("token")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest"))
+        .where("rarest.n > 0")
+        .select("token", "rarest.piece")
+    )
+    matched = pieces.join(filed, "piece").where(F.col("text").contains(F.col("token"))).select("text", "token")
+    for size in range(1, width):
+        whole = texts.select("text", F.explode(_grams(F.col("text"), size)).alias("token"))
+        matched = matched.unionByName(whole.join(tokens.where(F.length("token") == size), "token").select("text", "token"))
+    return matched
+
+
+def allowed_by_list(messages: DataFrame, allowlist: DataFrame, max_bytes: int = 256 << 10) -> DataFrame:
     """Messages whose sender contains a listed token; ``allowlist(token STRING)``.
 
-    A list within ``max_bytes`` is broadcast. A longer one is matched by fixed
-    length pieces: every token shares its first piece with the sender, so the
-    match is an equi join on pieces followed by the exact test.
+    A list within ``max_bytes`` is broadcast and tested token by token. A longer one is matched
+    through ``contained_tokens``, over the distinct senders.
     """
     tokens = allowlist.select(F.lower(F.trim("token")).alias("token")).filter("token <> ''").distinct()
     size = tokens.agg(F.sum(F.octet_length("token")).alias("n")).first()["n"] or 0
     low = F.lower("sender")
     if size <= max_bytes:
         return messages.join(F.broadcast(tokens), low.contains(F.col("token")), "left_semi")
-    width = tokens.agg(F.min(F.length("token")).alias("n")).first()["n"]
-    pieces = tokens.select("token", F.left("token", F.lit(width)).alias("piece"))
-    senders = messages.select("sender").distinct().withColumn(
-        "piece",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(low) - width + 1, F.lit(1))),
-                    lambda i: F.substring(low, i, F.lit(width)),
-                )
-            )
-        ),
-    )
-    matched = senders.join(pieces, "piece").filter(low.contains(F.col("token"))).select("sender").distinct()
-    return messages.join(matched, "sender", "left_semi")
+    senders = messages.select(low.alias("text")).where("text IS NOT NULL").distinct()
+    matched = contained_tokens(senders, tokens).select(F.col("text").alias("_sender")).distinct()
+    return messages.join(matched, low == F.col("_sender"), "left_semi")
 
 
 def is_noise_row() -> Column:

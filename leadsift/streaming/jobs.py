@@ -5,17 +5,22 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from leadsift.operators.commands import apply_commands, command_replies, parse_commands
+from leadsift.operators.dedupe import dedupe
 from leadsift.operators.digest import alert_digest, description_worklist
+from leadsift.operators.extract import extract
 from leadsift.operators.maintenance import rescore
 from leadsift.operators.pages import fetch_descriptions
+from leadsift.operators.relevance import relevant_messages
+from leadsift.operators.score import score
 from leadsift.plans.intake import find_postings
 from leadsift.rules import DEFAULT_RULES, RulePack
 from leadsift.sources.snapshots import StateTable
+from leadsift.streaming.runs import into_folder, observed, run_available
 
 
 def unique_messages(messages: DataFrame, lateness: str = "3 days") -> DataFrame:
@@ -125,3 +130,36 @@ def sighting_counts(sightings: DataFrame, lateness: str = "1 day") -> DataFrame:
             F.count(F.lit(1)).alias("seen_count"),
         )
     )
+
+
+def counted_intake(
+    messages: DataFrame, as_of, out: str, checkpoint: str, rules: RulePack = DEFAULT_RULES
+) -> dict[str, int]:
+    """Message stream -> scored postings under ``out``, and what happened to the rows on the way.
+
+    Filter and extraction run in the streaming plan and are observed there; the counts come from
+    the query's progress. Each micro-batch is de-duplicated and scored from what the plan has
+    written, so no row is extracted twice.
+    """
+    spark = messages.sparkSession
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 1_000_000)
+
+    def watch(df: DataFrame, name: str) -> DataFrame:
+        return df.observe(name, F.count(F.lit(1)).alias("rows"))
+
+    kept = watch(relevant_messages(watch(messages, "loaded"), rules), "relevant")
+    parsed = watch(extract(kept, as_of, rules), "parsed")
+    stored = 0
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        nonlocal stored
+        into_folder(f"{out}/parsed")(batch, batch_id)
+        extracted = spark.read.schema(parsed.schema).parquet(f"{out}/parsed/batch={batch_id}")
+        counts = Observation()
+        rows = score(dedupe(extracted), rules).observe(counts, F.count(F.lit(1)).alias("rows"))
+        into_folder(f"{out}/scored")(rows, batch_id)
+        stored += counts.get["rows"]
+
+    seen = observed(run_available(parsed, out, checkpoint, "append", each))
+    loaded, relevant, found = (seen.get(n, 0) for n in ("loaded", "relevant", "parsed"))
+    return {"loaded": loaded, "filtered_out": loaded - relevant, "parsed": found, "duplicates": found - stored, "stored": stored}

@@ -24,10 +24,18 @@ def into_folder(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Run ``stream`` until nothing new is available and return the ended query."""
+def run_available(
+    stream: DataFrame, out: str, checkpoint: str, mode: str = "update", sink: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
+    """Run ``stream`` until nothing new is available and return the ended query.
+
+    Rows go to folders under ``out``, or to ``sink``.
+    """
+    spark = stream.sparkSession
+    if sink is None:
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=none")
     query = (
-        stream.writeStream.foreachBatch(into_folder(out))
+        stream.writeStream.foreachBatch(sink or into_folder(out))
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -37,6 +45,15 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "upd
     return query
 
 
-def emitted(spark: SparkSession, stream: DataFrame, out: str) -> DataFrame:
-    """All rows that ``run_available`` has written; none if it had no batch."""
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
+def emitted(stream: DataFrame, out: str) -> DataFrame:
+    """All rows that ``run_available`` has written, over all its batches."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/batch=*")
+
+
+def observed(query: StreamingQuery) -> dict[str, int]:
+    """Row counts observed in the streaming plan, added up over the micro-batches of a run."""
+    total: dict[str, int] = {}
+    for progress in query.recentProgress:
+        for name, row in progress.observedMetrics.items():
+            total[name] = total.get(name, 0) + row["rows"]
+    return total

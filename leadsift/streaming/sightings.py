@@ -117,7 +117,7 @@ def sighting_states(sightings: DataFrame, idle: dt.timedelta | None = None, late
 
 
 def latest_states(emitted: DataFrame) -> DataFrame:
-    """What a stream of ``sighting_states`` has emitted -> the present totals of each fingerprint.
+    """What a stream of ``sighting_states`` without ``idle`` has emitted -> the present totals.
 
     Counts only grow while a fingerprint is known, so its greatest emitted count is the present one.
     """
