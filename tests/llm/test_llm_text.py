@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from leadsift.llm import decontaminate as dc
@@ -170,3 +171,38 @@ def test_pages_in_a_wrapper_or_without_head_end_keep_their_article():
     assert main_text(f"<html><body><div hidden>{body}</div></body></html>") == ""
     comments = "<div class='comments'>" + "<p>I think so too, and will say it at length, again and again.</p>" * 40 + "</div>"
     assert main_text(f"<html><body><article>{body}</article>{comments}</body></html>") == want
+
+
+def brute_passages(texts, words):
+    split = [(t or "").encode().split() for t in texts]
+    holders = {}
+    for i, w in enumerate(split):
+        for k in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[k : k + words]), set()).add(i)
+    out = []
+    for w in split:
+        inside = [False] * len(w)
+        for k in range(len(w) - words + 1):
+            if len(holders[tuple(w[k : k + words])]) > 1:
+                inside[k : k + words] = [True] * words
+        out.append(sum(inside))
+    return out
+
+
+def test_passages_of_words_equal_brute_force(spark, rows):
+    """Passages shorter than the byte rule's strings; those of one text alone do not count."""
+    rng = np.random.default_rng(11)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 400, n)]
+
+    shared = [prose(n) for n in (50, 51, 55, 61, 90)]
+    texts = [r[1] for r in rows]
+    for i in range(40):
+        head, tail = prose(int(rng.integers(0, 60))), prose(int(rng.integers(0, 60)))
+        texts.append(("\n" if i % 3 else "  ").join([*head, *shared[i % 5], *tail]))
+    texts += [" ".join(prose(30) + shared[1]) + " x", "  " + " ".join(prose(51) * 2), "a " * 300, " ".join(f"solo{i}" for i in range(60)) + " z"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_passage_words for r in repeated_strings(made).collect()}
+    assert got == dict(enumerate(brute_passages(texts, 51)))
+    assert len({i for i, n in got.items() if n and i >= len(rows)}) >= 32
