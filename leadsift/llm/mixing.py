@@ -11,8 +11,8 @@ from leadsift.llm.common import WORD, written
 
 #: Documents in one unit of the distributed running sum.
 CHUNK_ROWS = 2_000
-#: Slots that one task spreads out.
-SLOT_RUN = 10_000
+#: Slots that one task spreads out, and output shards in one group of the running sum.
+SLOT_RUN, SHARD_RUN = 10_000, 1_024
 ROUNDS = 12
 
 
@@ -93,10 +93,10 @@ class Mix:
     ):
         """Pack the documents of each source into blocks of `block_words` words and draw blocks.
 
-        Every source gets round(target / size * blocks) slots. Each slot draws its output shard by
-        a seeded hash, so a shard's source counts are multinomial, conditioned on the quotas. A
-        slot's pass and rank in its source go through a keyed permutation of the block numbers:
-        a pass over a source uses each of its blocks once, so no row is taken more than
+        Every source gets round(target / size * blocks) slots. The output shards draw how many
+        slots of each source they have (`draws`), and a source's slots are numbered in the order of
+        the shards. A slot's pass and rank in its source go through a keyed permutation of the block
+        numbers: a pass over a source uses each of its blocks once, so no row is taken more than
         ceil(cap) times. Slots and blocks meet in a join on (source, block number).
 
         Sizes are counts of words. Null sources form one source, ranked last; null and empty texts
@@ -145,27 +145,55 @@ class Mix:
         high = F.least((F.col("_block") + 1) * length - F.col("_from"), F.col("_size"))
         return parts.select("_row", "_source", "_block", low.alias("_low"), high.alias("_high"))
 
-    def _slots(self) -> DataFrame:
-        """(`_source`, `_block`, `mix_shard`, `mix_pass`) for each slot of the mix."""
+    def draws(self) -> DataFrame:
+        """(`_source`, `mix_shard`, `_count`, `_start`): how many slots of a source each output shard has.
+
+        A shard's counts are multinomial, conditioned on the sources' quotas: every slot of a source
+        draws its shard, and the draws are counted. `_start` numbers a source's slots shard by
+        shard, by a running sum over groups of shards and one within each group. Written once: the
+        slots are made from the counts.
+        """
         blocks = F.ceil(F.col("source_size") / self.block_words)
         quotas = self.targets.where("source_size > 0").select(
-            "_source", blocks.alias("_n"), F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("_quota")
+            "_source", F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("_quota")
         )
-        shards = F.greatest(F.lit(1), F.ceil(F.sum("_quota").over(Window.partitionBy()) / self.shard_slots))
-        runs = quotas.withColumn("_shards", shards).where("_quota > 0").withColumn(
+        slots = quotas.agg(F.sum("_quota")).first()[0] or 0
+        shards = max(1, -(-slots // self.shard_slots))
+        runs = quotas.where("_quota > 0").withColumn(
             "_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_quota") - 1) / SLOT_RUN)))
         )
         begin = F.col("_run") * SLOT_RUN
-        # A fixed number of partitions, which adaptive execution does not fold into one small task.
-        tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        slots = runs.repartition(tasks, "_source", "_run").withColumn(
+        drawn = self._spread(runs, "_source", "_run").withColumn(
             "_k", F.explode(F.sequence(begin, F.least(begin + SLOT_RUN, F.col("_quota")) - 1))
         )
+        shard = F.pmod(F.xxhash64(F.lit(self.seed), F.lit("shard"), "_source", "_k"), F.lit(shards)).cast("int")
+        counts = written(drawn.groupBy("_source", shard.alias("mix_shard")).agg(F.count("*").alias("_count")), "mix-draws")
+        grouped = counts.withColumn("_group", F.floor(F.col("mix_shard") / SHARD_RUN))
+        earlier = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+        groups = (
+            grouped.groupBy("_source", "_group").agg(F.sum("_count").alias("_in_group"))
+            .select("_source", "_group", F.coalesce(F.sum("_in_group").over(earlier), F.lit(0)).alias("_before"))
+        )
+        within = Window.partitionBy("_source", "_group").orderBy("mix_shard").rowsBetween(Window.unboundedPreceding, -1)
+        inside = grouped.withColumn("_inside", F.coalesce(F.sum("_count").over(within), F.lit(0)))
+        return inside.join(groups, ["_source", "_group"]).select(
+            "_source", "mix_shard", "_count", (F.col("_before") + F.col("_inside")).alias("_start")
+        )
+
+    @staticmethod
+    def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+        """A fixed number of partitions, which adaptive execution does not fold into one small task."""
+        return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    def _slots(self) -> DataFrame:
+        """(`_source`, `_block`, `mix_shard`, `mix_pass`) for each slot that a shard has drawn."""
+        sizes = self.targets.select("_source", F.ceil(F.col("source_size") / self.block_words).alias("_n"))
+        slots = self._spread(self.draws().join(sizes, "_source"), "_source", "mix_shard").withColumn(
+            "_k", F.explode(F.sequence("_start", F.col("_start") + F.col("_count") - 1))
+        )
         source_pass = F.floor(F.col("_k") / F.col("_n"))
         return slots.select(
-            "_source",
-            F.pmod(F.xxhash64(F.lit(self.seed), F.lit("shard"), "_source", "_k"), "_shards").cast("int").alias("mix_shard"),
-            source_pass.alias("mix_pass"),
+            "_source", "mix_shard", source_pass.alias("mix_pass"),
             _permuted(F.col("_k") % F.col("_n"), F.col("_n"), [F.col("_source"), source_pass], self.seed).alias("_block"),
         )
 
@@ -174,14 +202,19 @@ class Mix:
         return self._blocks().join(self._slots().hint("merge"), ["_source", "_block"])
 
     def documents(self) -> DataFrame:
-        """Every input row with `size`, `source_size`, `target` and `taken` (words, repeats counted)."""
-        taken = self._drawn().groupBy("_row").agg(F.sum(F.col("_high") - F.col("_low")).alias("_taken"))
-        made = ("size", "source_size", "target", "taken")
+        """Every input row with `size`, `source_size`, `target`, `taken` (words, repeats counted) and
+        `n_shards`, the number of output shards that have words of it."""
+        words = F.sum(F.col("_high") - F.col("_low")).alias("_words")
+        taken = (
+            self._drawn().groupBy("_row", "mix_shard").agg(words)
+            .groupBy("_row").agg(F.sum("_words").alias("_taken"), F.count("*").alias("_n_shards"))
+        )
+        made = ("size", "source_size", "target", "taken", "n_shards")
         kept = [c for c in self.docs.columns if c not in made]
         return (
             self.rows.join(taken, "_row", "left")
             .join(self.targets.select("_source", "source_size", "target"), "_source")
-            .select(*[F.col(f"_record.`{c}`") for c in kept], F.col("_size").alias("size"), "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken"))
+            .select(*[F.col(f"_record.`{c}`") for c in kept], F.col("_size").alias("size"), "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken"), F.coalesce("_n_shards", F.lit(0)).alias("n_shards"))
         )
 
     def pieces(self) -> DataFrame:

@@ -82,7 +82,7 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing")
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return Mix(docs, (3, 1, 2), share=1.5, cap=2.0).documents().select("doc_id", "size", "source_size", "target", "taken")
+    return Mix(docs, (3, 1, 2), share=1.5, cap=2.0).documents().select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 @query("op7_toxicity")

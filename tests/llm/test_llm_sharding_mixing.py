@@ -75,3 +75,27 @@ def test_pieces_make_whole_texts_and_the_words_taken(docs, rows):
         if doc_id not in (None, 8) and text:
             assert "".join(t for _, t in sorted(first[doc_id])) == text
     assert Mix(docs.limit(0)).documents().count() == 0
+
+
+def test_shards_draw_the_slots_of_the_sources(spark):
+    """Quotas are met exactly, counts of a shard scatter as a multinomial draw does, and the result rests on them."""
+    docs = spark.range(600).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 40).alias("text"), F.when(F.col("id") < 300, "a").when(F.col("id") < 500, "b").otherwise("c").alias("source")
+    )
+    mix = Mix(docs, block_words=4, shard_slots=300)
+    draws = mix.draws().collect()
+    quota = {r["source"]: round(r["target"] / 4) for r in mix.targets.collect()}
+    for source, slots in quota.items():
+        mine = sorted((r["mix_shard"], r["_start"], r["_count"]) for r in draws if r["_source"] == f"={source}")
+        assert [s for _, s, _ in mine] == [sum(c for _, _, c in mine[:i]) for i in range(len(mine))]
+        assert sum(c for _, _, c in mine) == slots
+        shards = sum(quota.values()) // 300
+        assert len(mine) == shards
+        mean = slots / shards
+        chi = sum((c - mean) ** 2 / mean for _, _, c in mine)
+        assert 0.2 * shards < chi < 2.5 * shards
+    got = mix.documents()
+    assert "mix_shard" in got._jdf.queryExecution().optimizedPlan().toString()
+    drawn = mix._drawn().groupBy("mix_shard", "_source").agg(F.countDistinct("_block", "mix_pass").alias("n")).collect()
+    assert {(r["mix_shard"], r["_source"], r["n"]) for r in drawn} == {(r["mix_shard"], r["_source"], r["_count"]) for r in draws}
+    assert {r.n_shards > 0 for r in got.where("taken > 0").collect()} == {True}
