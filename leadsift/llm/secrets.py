@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -21,17 +22,57 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Unbroken strings that may hold a secret.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Class: all its characters, window length, least bits per character of a window.
+WINDOW = 20
+#: Classes, narrowest first: all characters of a candidate, and how many different ones there are.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-fA-F]+"), 20, 3.0),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 4.0),
-)
-#: Candidates that are no secrets: identifiers, paths, dashes, one letter case without digits.
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"[a-z_/=+-]+|[A-Z_/=+-]+|[A-Z]?[a-z]+(?:[-_/][A-Z]?[a-z]+)*|[0-9_/=+-]+"),
-    re.compile(r"/?(?:[A-Za-z0-9]{1,16}[/_-])+[A-Za-z0-9]{1,16}/?"),
+    ("hex", re.compile(r"[0-9a-fA-F]+"), 16),
+    ("base32", re.compile(r"[A-Z2-7=]+|[a-z2-7=]+"), 32),
+    ("one case", re.compile(r"[A-Z0-9]+|[a-z0-9]+"), 36),
+    ("base62", re.compile(r"[A-Za-z0-9]+"), 62),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 65),
 )
+#: Standard deviations below the expected entropy of a random window that still count.
+MARGIN = 2.0
+#: Candidates that are no secrets: identifiers, and pieces that all read like words or numbers.
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+BETWEEN, RUN = re.compile(r"[/_=+-]+"), re.compile(r"[A-Za-z]+|[0-9]+")
+WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*")
+#: A piece up to this long says nothing; letters mixed with digits read like words if their runs have this length on average.
+SHORT_PIECE, MEAN_RUN = 4, 7
+
+
+@lru_cache
+def threshold(alphabet: int, width: int = WINDOW) -> float:
+    """Bits a character that a window of random characters reaches but for `MARGIN` deviations.
+
+    The entropy is log2(width) - sum of n log2(n) / width over the counts of the characters, which
+    are multinomial: mean and variance follow from the counts of one and of two characters.
+    """
+
+    def chance(n: int, of: int, p: float) -> float:
+        return math.comb(of, n) * p**n * (1 - p) ** (of - n)
+
+    cost = [n * math.log2(n) if n else 0.0 for n in range(width + 1)]
+    one = [chance(n, width, 1 / alphabet) for n in range(width + 1)]
+    mean = sum(p * c for p, c in zip(one, cost, strict=True))
+    square = sum(p * c * c for p, c in zip(one, cost, strict=True))
+    both = sum(
+        one[n] * cost[n] * sum(chance(m, width - n, 1 / (alphabet - 1)) * cost[m] for m in range(width - n + 1)) for n in range(width + 1)
+    )
+    variance = alphabet * (square - mean * mean) + alphabet * (alphabet - 1) * (both - mean * mean)
+    return math.log2(width) - (alphabet * mean + MARGIN * math.sqrt(variance)) / width
+
+
+def _reads_like_words(piece: str) -> bool:
+    if len(piece) <= SHORT_PIECE:
+        return True
+    runs = RUN.findall(piece)
+    return (len(runs) == 1 or len(piece) >= MEAN_RUN * len(runs)) and all(r.isdigit() or WORD.fullmatch(r) for r in runs)
+
+
+def allowed(s: str) -> bool:
+    """Whether a candidate is an identifier or a path of words and numbers."""
+    return bool(IDENTIFIER.fullmatch(s)) or all(_reads_like_words(p) for p in BETWEEN.split(s))
 
 
 def high_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
@@ -62,10 +103,10 @@ def high_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
 
 def _entropy_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     s = text[start:end]
-    if any(a.fullmatch(s) for a in ALLOWED):
+    if allowed(s):
         return []
-    name, _, width, least = next(c for c in CLASSES if c[1].fullmatch(s))
-    return [(start + a, start + b) for a, b in high_windows(s, width, least)]
+    alphabet = next(n for _, characters, n in CLASSES if characters.fullmatch(s))
+    return [(start + a, start + b) for a, b in high_windows(s, WINDOW, threshold(alphabet))]
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -100,8 +141,10 @@ def secret_spans(docs: DataFrame, text: str = "text", keep_text: bool = False) -
     """`docs` with the secrets of each whole text, in code points, end exclusive.
 
     Assignments, access keys and long hexadecimal runs always count. Every unbroken string of 20
-    or more characters is scanned by windows of its narrowest character class, and stretches of high
-    entropy outside the other spans are added, unless the whole string is of an allowed form. Null
+    or more characters is scanned by windows of 20 characters; its narrowest character class says how
+    much entropy a window of random characters has, and stretches that reach it but for two standard
+    deviations are added, outside the other spans. Strings whose pieces between `/ _ = + -` all read
+    like words or numbers are allowed, so letters of one case without a digit are never secrets. Null
     and empty texts have no spans; repeated rows give repeated results; an empty table gives an
     empty result; input columns named like results are replaced.
     """

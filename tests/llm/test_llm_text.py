@@ -206,3 +206,38 @@ def test_passages_of_words_equal_brute_force(spark, rows):
     got = {r.doc_id: r.n_passage_words for r in repeated_strings(made).collect()}
     assert got == dict(enumerate(brute_passages(texts, 51)))
     assert len({i for i, n in got.items() if n and i >= len(rows)}) >= 32
+
+
+ALPHABETS = {
+    "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_random_tokens_are_found(name):
+    rng = np.random.default_rng(1)
+    for length, least in ((24, 0.85), (32, 0.95), (40, 0.97)):
+        tokens = ["".join(rng.choice(list(ALPHABETS[name]), length)) for _ in range(400)]
+        found = sum(bool(se.spans_of(f"the key is {t} now")) for t in tokens)
+        assert found >= least * 400, (name, length, found)
+
+
+def test_planted_keys_are_found_and_names_are_not():
+    rng = np.random.default_rng(2)
+    keys = ["sk_live_" + "".join(rng.choice(list(ALPHABETS["base62"]), 24)) for _ in range(200)]
+    assert sum(any(k == 3 for _, k, _ in se.spans_of(t)) for t in keys) >= 190
+    for text in (
+        "https://example.com/some/long/path/with-many-words/2021/introduction", "internationalisation_of_measurements", "123456789012345678901234567890",
+        "getUserByNameAndPlaceOfResidence", "550e8400-e29b-41d4-a716-446655440000", "CHAPTER12INTRODUCTION", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "====================",
+    ):
+        assert not [s for s in se.spans_of(text) if s[1] == 3], text
+
+
+def test_threshold_is_that_of_random_windows():
+    rng = np.random.default_rng(3)
+    for alphabet in (16, 36, 62):
+        draws = rng.integers(0, alphabet, (4000, 20))
+        bits = [-sum(c / 20 * math.log2(c / 20) for c in Counter(d).values()) for d in draws.tolist()]
+        assert abs(np.mean(bits) - se.MARGIN * np.std(bits) - se.threshold(alphabet)) < 0.02
