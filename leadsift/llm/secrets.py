@@ -36,7 +36,7 @@ MARGIN = 2.0
 #: Candidates that are no secrets: identifiers, and pieces that all read like words or numbers.
 IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 BETWEEN, RUN = re.compile(r"[/_=+-]+"), re.compile(r"[A-Za-z]+|[0-9]+")
-WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*")
+WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*")
 #: A piece up to this long says nothing; letters mixed with digits read like words if their runs have this length on average.
 SHORT_PIECE, MEAN_RUN = 4, 7
 
