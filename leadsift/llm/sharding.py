@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from leadsift.llm.common import utf8_bytes, written
 
 
+#: Buckets in one group of the running sum.
+BUCKET_RUN = 1_024
+
+
+def _starts(counts: DataFrame) -> DataFrame:
+    """(`_bucket`, `_start`): the rows in the buckets before, summed by groups and within each group."""
+    grouped = counts.withColumn("_group", F.floor(F.col("_bucket") / BUCKET_RUN))
+    groups = grouped.groupBy("_group").agg(F.sum("_n").alias("_in_group"))
+    before = groups.select("_group", (F.sum("_in_group").over(Window.orderBy("_group")) - F.col("_in_group")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_group").orderBy("_bucket")) - F.col("_n")
+    return grouped.withColumn("_inside", inside).join(before, "_group").select("_bucket", (F.col("_before") + F.col("_inside")).alias("_start"))
+
+
 def shuffled_shards(
     docs: DataFrame, shards: int = 40, seed: int = 17, bucket_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -33,13 +46,11 @@ def shuffled_shards(
         kept.select(record.alias("_record"), scatter.alias("_at")).withColumn("_bucket", F.pmod("_at", F.lit(buckets))),
         "scattered",
     )
-    counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    starts = counts.select(
-        "_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start")
-    )
+    starts = _starts(scattered.groupBy("_bucket").agg(F.count("*").alias("_n")))
+    # As many tasks as buckets, whatever the session's default, so a task holds a bucket or a few.
     # Sorted before collecting, so that a bucket's order does not depend on how its blocks arrive.
     bucketed = (
-        scattered.repartition("_bucket")
+        scattered.repartition(buckets, "_bucket")
         .sortWithinPartitions("_bucket", "_at")
         .groupBy("_bucket")
         .agg(F.shuffle(F.collect_list("_record"), seed).alias("_records"))
