@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
-from urllib.parse import urlsplit
+from urllib.parse import unquote_plus, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +20,14 @@ from leadsift.llm.common import shared_dir, written
 CRLF = "\r\n"
 #: Records of an archive file, at most.
 ARCHIVE_RECORDS = 1000
+#: Index entries of one task of the merge, about, and of a run that it has unpacked at a time.
+MERGE_ENTRIES, MERGE_ROWS = 200_000, 1_024
 #: Capture time of pages that have none: this moment and page_id seconds.
 EPOCH = 1_577_836_800
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 INDEX = (
     "url_key string, captured_at string, page_id string, payload_bytes long, payload_digest string, record_type string,"
-    " refers_to string, url string, archive string, place long"
+    " refers_to string, url string, archive string, place long, intact boolean"
 )
 
 
@@ -41,7 +46,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, key: str = "page_id",
     that repeat the largest key are responses too. A record is a row of a text file whose line end
     is the two line ends that close a WARC record, so Spark's own writer makes valid archives, of
     any file system. Null html is an empty payload. Control characters and spaces of a URL are
-    percent-encoded with the rest of it.
+    percent-encoded; keys of any text are, as a whole.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(
@@ -52,13 +57,14 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, key: str = "page_id",
     copies = written(several.where((F.col("n") > 1) & (F.col("_bytes") >= least_bytes)).drop("n", "_bytes"), "warc-copies")
     known = rows.join(copies, "_digest", "left")
     revisit = F.col("_first").isNotNull() & (F.col("_key").isNull() | (F.col("_key") < F.col("_first")))
-    safe_url = F.when(F.col("_url").rlike(r"[\x00-\x20\x7F]"), F.url_encode("_url")).otherwise(F.col("_url"))
+    encoded = reduce(lambda c, x: F.replace(c, F.lit(chr(x)), F.lit(f"%{x:02X}")), (*range(0x21), 0x7F), F.col("_url"))
+    safe_url = F.when(F.col("_url").rlike(r"[\x00-\x20\x7F]"), encoded).otherwise(F.col("_url"))
     when = F.date_format(F.timestamp_seconds(EPOCH + F.coalesce(F.col("_key").try_cast("long"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), "_bytes", F.lit(CRLF * 2))
     body = F.when(revisit, F.lit("")).otherwise(F.col("_html"))
 
     def urn(of: str) -> Column:
-        return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(of).cast("string"), F.lit("")), F.lit(">"))
+        return F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(F.col(of).cast("string")), F.lit(">")), F.lit("<urn:page>"))
 
     lines = [
         F.lit("WARC/1.1"),
@@ -79,13 +85,18 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, key: str = "page_id",
 
 
 def url_key(url: str) -> str:
-    """Sort-friendly form: host labels from the right, then path and query, in lower case."""
+    """Sort-friendly form: host labels from the right, then path and query, in lower case.
+
+    Spaces and control characters count as themselves, percent-encoded or not.
+    """
+    plain = re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02x}", url.lower())
     try:
-        parts = urlsplit(url.lower())
+        parts = urlsplit(plain)
         host = (parts.hostname or "").removeprefix("www.")
     except ValueError:
         return url.lower()
     path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    path = re.sub(r"%([01][0-9a-f]|20|7f)", lambda m: chr(int(m[1], 16)), path)
     return ",".join(reversed(host.split("."))) + ")" + path
 
 
@@ -103,16 +114,22 @@ def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def _urn(value: str | None) -> str | None:
-    return (re.fullmatch(r"<urn:page:(.*)>", value)[1] or None) if value else None
+    found = re.fullmatch(r"<urn:page:(.*)>", value or "")
+    return unquote_plus(found[1]) if found else None
 
 
 def _entry(archive: str, place: int, headers: dict[str, str], block: bytes) -> tuple:
-    http = block.partition(b"\r\n\r\n")[0].decode()
-    length = next(int(x.split(":")[1]) for x in http.split(CRLF) if x.startswith("Content-Length"))
-    url = headers.get("WARC-Target-URI", "")
+    """Index entry of a record. Length and digest of a response are measured on its payload."""
+    url, stated = headers.get("WARC-Target-URI", ""), headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    http, _, payload = block.partition(b"\r\n\r\n")
+    length, digest, intact = len(payload), stated, None
+    if headers["WARC-Type"] == "response":
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        said = next((x.split(":")[1].strip() for x in http.decode(errors="replace").split(CRLF) if x.startswith("Content-Length")), "")
+        intact = digest == stated and said == str(length)
     return (
-        url_key(url), headers["WARC-Date"], _urn(headers["WARC-Record-ID"]), length, headers["WARC-Payload-Digest"].removeprefix("sha1:"),
-        headers["WARC-Type"], _urn(headers.get("WARC-Refers-To")), url, archive, place,
+        url_key(url), headers["WARC-Date"], _urn(headers["WARC-Record-ID"]), length, digest,
+        headers["WARC-Type"], _urn(headers.get("WARC-Refers-To")), url, archive, place, intact,
     )
 
 
@@ -123,7 +140,7 @@ def capture_runs(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                entries = sorted(_entry(path.rpartition("/")[2], *r) for r in records(data.as_py()))
+                entries = sorted((_entry(path.rpartition("/")[2], *r) for r in records(data.as_py())), key=_order)
                 if entries:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries, strict=True), TYPES, strict=True)], names=NAMES)
 
@@ -131,7 +148,7 @@ def capture_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NAMES = [c.split()[0] for c in INDEX.split(",")]
-TYPES = [pa.int64() if c.endswith("long") else pa.string() for c in INDEX.split(",")]
+TYPES = [{"long": pa.int64(), "boolean": pa.bool_()}.get(c.split()[1], pa.string()) for c in INDEX.split(",")]
 
 
 def _order(entry: tuple) -> tuple:
@@ -173,34 +190,63 @@ class LoserTree:
             self._play(winner)
 
 
+def with_measured(runs: DataFrame) -> DataFrame:
+    """Revisits take length and digest from the response they refer to, as measured there.
+
+    A revisit is intact if its own digest is that of its response; one whose response is missing
+    has no length and is not.
+    """
+    responses = runs.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("_of")).agg(
+        F.max(F.struct("payload_bytes", "payload_digest", "intact")).alias("_m")
+    )
+    revisits = runs.where("record_type = 'revisit'").join(responses, F.col("refers_to") == F.col("_of"), "left")
+    same = F.coalesce(F.col("_m.intact") & (F.col("payload_digest") == F.col("_m.payload_digest")), F.lit(False))
+    made = {"payload_bytes": F.col("_m.payload_bytes"), "payload_digest": F.coalesce("_m.payload_digest", "payload_digest"), "intact": same}
+    return runs.where("record_type <> 'revisit'").unionByName(revisits.select(*[made.get(c, F.col(c)).alias(c) for c in NAMES]))
+
+
 def capture_histories(runs: DataFrame) -> DataFrame:
     """All entries in order of URL key and capture time, across partitions.
 
-    Range partitions of (key, time, archive) cut even one URL's history, so a partition stays of
-    bounded size; each holds a piece of every run, which a loser tree merges.
+    Range partitions of (key, time, archive) cut even one URL's history; there are as many as keep
+    each near `MERGE_ENTRIES` entries. Each holds a piece of every run, which a loser tree merges;
+    pieces stay packed in Arrow batches and are unpacked some rows at a time.
     """
 
+    def unpacked(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, len(batch), MERGE_ROWS):
+                yield from zip(*[c.to_pylist() for c in batch.slice(at, MERGE_ROWS).columns], strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
+        pieces: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for entry in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                pieces.setdefault(entry[8], []).append(entry)
-        merged = iter(LoserTree([iter(p) for p in pieces.values()]))
+            archives = batch.column(8).to_pylist()
+            edges = [0, *(i for i in range(1, len(archives)) if archives[i] != archives[i - 1]), len(archives)]
+            for low, high in zip(edges, edges[1:]):
+                if high > low:
+                    pieces.setdefault(archives[low], []).append(batch.slice(low, high - low))
+        merged = iter(LoserTree([unpacked(p) for p in pieces.values()]))
         while part := list(islice(merged, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), TYPES, strict=True)], names=NAMES)
 
     order = ["url_key", "captured_at", "archive", "place"]
-    return runs.repartitionByRange(*order).sortWithinPartitions("archive", "url_key", "captured_at", "place").mapInArrow(run, INDEX)
+    held = written(runs, "warc-index")
+    default = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = held.repartitionByRange(max(default, -(-held.count() // MERGE_ENTRIES)), *order)
+    return ranged.sortWithinPartitions("archive", "url_key", "captured_at", "place").mapInArrow(run, INDEX)
 
 
 def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write archives of `pages`, read them back, and return the merged capture index.
 
     One row for each page, repeated rows included: see `write_archives` for equal payloads and
-    nulls. An empty table gives an empty index. Keys come back in their own type; a page without
-    a key is captured at the start of the time scale.
+    nulls. Lengths and digests are measured on the payloads read; `intact` says whether they are
+    what the headers state. An empty table gives an empty index. Keys come back in their own type;
+    a page without a key is captured at the start of the time scale. A very long page is one record
+    and with its archive of at most `ARCHIVE_RECORDS` records held in memory by one task.
     """
     folder = write_archives(pages, least_bytes, key, url, html)
     kind = pages.schema[key].dataType
-    index = capture_histories(capture_runs(pages.sparkSession, folder))
+    index = capture_histories(with_measured(capture_runs(pages.sparkSession, folder)))
     return index.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})

@@ -216,11 +216,38 @@ def test_payloads_come_back_whole(spark):
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree_merges(k):
     random.seed(k)
-    runs = [sorted((str(random.randrange(30)), "t", 0, 0, 0, 0, 0, 0, f"r{i}", j) for j in range(random.randrange(9))) for i in range(k)]
+    runs = [sorted((str(random.randrange(30)), "t", 0, 0, 0, 0, 0, 0, f"r{i}", j, True) for j in range(random.randrange(9))) for i in range(k)]
     runs = [sorted(r, key=warc._order) for r in runs]
     assert list(warc.LoserTree([iter(r) for r in runs])) == sorted((e for r in runs for e in r), key=warc._order)
 
 
 def test_url_keys():
     assert warc.url_key("https://www.News.Example.com:8080/A?b=C") == "com,example,news)/a?b=c"
+    assert warc.url_key("https://www.a.example/b c") == warc.url_key("https://www.a.example/b%20c") == "example,a)/b c"
+    assert warc.url_key("http://a.example/x\r\ny?q=%0A") == "example,a)/x\r\ny?q=\n"
     assert warc.url_key("") == ")/" and warc.url_key("http://[bad/") == "http://[bad/"
+
+
+def test_read_back_measures_payloads(spark, tmp_path):
+    """A changed byte shows in the response's digest and in every revisit of it."""
+    pages = [(1, "u", "<p>abc</p>"), (2, "u", "<p>abc</p>"), (3, "v", "<p>other</p>"), (4, "v", None)]
+    folder = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    before = warc.with_measured(warc.capture_runs(spark, folder)).collect()
+    assert {r.page_id: r.intact for r in before} == {"1": True, "2": True, "3": True, "4": True}
+    damaged = tmp_path / "archives"
+    damaged.mkdir()
+    for row in spark.read.format("binaryFile").load(folder).collect():
+        (damaged / row.path.rpartition("/")[2]).write_bytes(bytes(row.content).replace(b"<p>abc", b"<p>abd"))
+    after = {r.page_id: r for r in warc.with_measured(warc.capture_runs(spark, str(damaged))).collect()}
+    assert {k: r.intact for k, r in after.items()} == {"1": False, "2": False, "3": True, "4": True}
+    changed = base64.b32encode(hashlib.sha1(b"<p>abd</p>").digest()).decode()
+    assert after["2"].payload_digest == after["1"].payload_digest == changed and after["1"].payload_bytes == 10
+
+
+def test_any_key_and_url_comes_back(spark):
+    pages = [("a b%20<c>", "https://www.a.example/b c"), ("line\r\nbreak", "https://a.example/x\ty"), ("", "u"), ("é+", None), (None, "u")]
+    made = spark.createDataFrame([(k, u, "same") for k, u in pages], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.archived(made).collect()}
+    assert set(got) == {k for k, _ in pages} and all(r.intact for r in got.values())
+    assert got["a b%20<c>"].url_key == "example,a)/b c" and got["line\r\nbreak"].url_key == "example,a)/x\ty"
+    assert {r.refers_to for r in got.values()} == {None, max(k for k, _ in pages if k is not None)}
