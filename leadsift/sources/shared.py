@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Where that is unset, a local session gets a temporary folder; on a cluster it is an error,
     since executors would not see the driver's files.
@@ -21,4 +21,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="leadsift-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in it."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
