@@ -176,6 +176,20 @@ def page_texts(spark, sf):
     return rel.table(spark, sf, "pages").select("page_id", h.page_text(F.col("html")).alias("text"))
 
 
+_TITLE_TAG = r"(?is)<title>(.*?)</title>"
+
+
+@query(
+    "page_texts_own_extractor",
+    f"""SELECT page_id, CASE WHEN {d.let(_visible(_ARTICLE), 'x', _MARKED)} THEN {_visible(_ARTICLE)}
+      ELSE coalesce(nullif({d.paragraphs(d.extract('html', _TITLE_TAG, 1))}, ''), {_visible('html')}) END AS text FROM pages""",
+)
+def page_texts_own_extractor(spark, sf):
+    """The main-content step replaced by the user's own, here the page's title."""
+    text = h.page_text(F.col("html"), lambda html: F.regexp_extract(html, _TITLE_TAG, 1))
+    return rel.table(spark, sf, "pages").select("page_id", text.alias("text"))
+
+
 _SNAPSHOTS = f"""
   SELECT url, CASE WHEN page_id % 17 = 0 THEN 'https://www.linkedin.com/ssr-login/' ELSE url || '?final' END AS final_url,
     CASE WHEN page_id % 3 = 0 THEN 'text/html; charset=utf-8' END AS content_type,
