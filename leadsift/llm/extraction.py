@@ -42,6 +42,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？—¿¡]")
 SMOOTH = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 #: A container that holds such a share of the selected text is entered.
 SHARE = 0.75
+#: Headings go with what they head, also when they are links.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -177,14 +179,56 @@ def blocks_of(page: str) -> tuple[Element, list[Block]]:
     return root, blocks
 
 
+def _line(e: Element | None) -> list[Element]:
+    """An element and all that it lies in, innermost first."""
+    line = []
+    while e is not None:
+        line.append(e)
+        e = e.parent
+    return line
+
+
+def _kept(blocks: list[Block], node: Element, accepted: set[str]) -> list[Block]:
+    """Blocks of the container `node` on accepted tag paths, and those that go with them.
+
+    A block on a rejected path goes if the text of that path is mostly links, headings apart. It
+    also goes if it lies before the first or after the last accepted block and its group, the
+    innermost holder around it, holds neither an accepted block nor the page's h1. Short
+    paragraphs, lists and headings beside accepted text or between it stay. Without any accepted
+    path in the container all of it is kept.
+    """
+    good = [b.element.path in accepted for b in blocks]
+    if not any(good):
+        return blocks
+    linked, text = defaultdict(int), defaultdict(int)
+    groups = {id(node)}
+    for b, ok in zip(blocks, good, strict=True):
+        linked[b.element.path] += b.links
+        text[b.element.path] += len(b.text)
+        if ok or b.element.tag == "h1":
+            groups |= {id(e) for e in _line(b.element)}
+    first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+
+    def belongs(i: int, b: Block) -> bool:
+        path = b.element.path
+        if good[i]:
+            return True
+        if 2 * linked[path] > text[path] and b.element.tag not in HEADINGS:
+            return False
+        group = next((e for e in _line(b.element) if e.tag in HOLDERS and e.tag not in ("td", "tr", "tbody")), node)
+        return first < i < last or id(group) in groups
+
+    return [b for i, b in enumerate(blocks) if belongs(i, b)]
+
+
 def main_text(page: str) -> str:
     """The article of a page: blocks below the container that holds most text of selected paths.
 
     Length and punctuation of all text outside links are added up by tag path and divided by the
     blocks of that path; both ratios are smoothed along the page, fused by their product and held
     against a threshold. The container is the deepest one with most of the selected text (an
-    article or main element is not entered further), and all its blocks outside menus, notices and the like are text, so that short
-    paragraphs stay.
+    article or main element is not entered further). Of its blocks, those that `_kept` finds to
+    belong to the selected paths are text.
     """
     root, blocks = blocks_of(page)
     blocks = [b for b in blocks if not b.element.side]
@@ -213,12 +257,10 @@ def main_text(page: str) -> str:
             break
         node = best
 
-    def within(e: Element | None) -> bool:
-        while e is not None and e is not node:
-            e = e.parent
-        return e is node
-
-    return " ".join(b.text for b in blocks if within(b.element))
+    inside = [b for b in blocks if node in _line(b.element)]
+    threshold = fused.std() if len(blocks) > 1 else 0.0
+    accepted = {path for path, (size, marks, n) in totals.items() if size / n * (1 + marks / n) >= threshold}
+    return " ".join(b.text for b in _kept(inside, node, accepted))
 
 
 def extracted(pages: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:

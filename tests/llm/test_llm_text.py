@@ -157,6 +157,28 @@ def test_main_text_of_pages(spark):
     assert extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_rejected_tag_paths_leave_the_container():
+    """Own labelled pages without names on what is beside the article: text to keep, text to lose."""
+    para = "<p>A sentence {0} of the article, with commas, and a full stop. It goes on for a while, as articles do.</p>"
+    body = "".join(para.format(i) for i in range(4))
+    links = "<ul>" + "".join(f"<li><a href='{i}'>Page {i}</a></li>" for i in range(8)) + "</ul>"
+    pages = [
+        (f"<body>{links}<div><h1>Head</h1>{body}</div></body>", ["Head", "A sentence 3"], ["Page"]),
+        (f"<main><div>We use cookies.</div><h1>Head</h1>{body}<h2>End</h2><p>Short.</p><div>First comment, nice.</div></main>",
+         ["Head A sentence 0", "End Short."], ["cookies", "comment"]),
+        (f"<article><h1>Head</h1>{body}<ul><li>one</li><li>two</li></ul><section><h3>3 replies</h3><div>Nice.</div></section></article>",
+         ["Head", "do. one two"], ["replies", "Nice"]),
+        (f"<article><header><h1>Head</h1><div>Sub</div></header>{body}<div>Between.</div>{body}{links}</article>",
+         ["Head", "Between."], ["Page"]),
+        (f"<main><section><h2><a href='x'>Linked head</a></h2>{body}</section><section><h2>Conclusion</h2><p>Brief.</p></section></main>",
+         ["Linked head", "Conclusion Brief."], []),
+        ("<article><h1>Head</h1><p>Brief.</p></article>", ["Head Brief."], []),
+    ]
+    for page, keep, lose in pages:
+        text = main_text(page)
+        assert all(k in text for k in keep) and not any(x in text for x in lose), text
+
+
 def test_pages_in_a_wrapper_or_without_head_end_keep_their_article():
     body = "<h1>A title</h1>" + "".join(f"<p>Sentence {i}, which is long enough, says one thing; then another.</p>" for i in range(6))
     want = main_text(f"<html><body><div>{body}</div></body></html>")
