@@ -17,6 +17,7 @@ from leadsift.operators import pages as pg
 from leadsift.operators import resolve as rs
 from leadsift.operators import segments as sg
 from leadsift.operators.state import set_canonical_urls, set_descriptions
+from leadsift.plans.sql_functions import register_functions
 from leadsift.sources import landing, mailbox, message_files
 
 # --- URL resolution --------------------------------------------------------------
@@ -454,3 +455,35 @@ def united_mail(spark, sf):
     one = alerts(spark, sf).withColumn("kind", F.lit("alert"))
     two = rel.relation(spark, sf, rel.CARD_MAIL).withColumn("kind", F.lit("card"))
     return one.unionByName(two, allowMissingColumns=True).select("source_id", "kind")
+
+
+@query(
+    "cards_in_sql",
+    o._with(*o.CARDS, final="SELECT source_id, CAST(card_idx AS BIGINT) AS card_idx, company, title, location, job_link FROM card_rows"),
+)
+def cards_in_sql(spark, sf):
+    """The card explode as a SQL user calls it."""
+    register_functions(spark, "ls_")
+    return spark.sql(
+        """SELECT m.source_id, CAST(c.card_idx AS BIGINT) AS card_idx, c.company, c.title, c.location, c.url AS job_link
+           FROM {mail} m, LATERAL ls_posting_cards(m.body) c
+           WHERE ls_is_posting_digest(m.subject, m.sender, m.body)""",
+        mail=rel.relation(spark, sf, rel.CARD_MAIL),
+    )
+
+
+@query(
+    "names_in_sql",
+    o._with(
+        ("alerts", rel.ALERTS),
+        final=f"SELECT {d.company('subject')} AS company, min({d.core_title('subject')}) AS first_role, count(*) AS n FROM alerts GROUP BY 1",
+    ),
+)
+def names_in_sql(spark, sf):
+    """Scalar functions in grouping and aggregation."""
+    register_functions(spark, "ls_")
+    return spark.sql(
+        """SELECT ls_normalize_company(subject) AS company, min(ls_clean_title(subject)) AS first_role, count(*) AS n
+           FROM {mail} GROUP BY 1""",
+        mail=alerts(spark, sf),
+    )
