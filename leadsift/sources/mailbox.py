@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadsift.functions import mime
 from leadsift.operators.dedupe import keep_first
 from leadsift.operators.relevance import is_relevant
 from leadsift.rules import DEFAULT_RULES, RulePack
@@ -41,61 +41,39 @@ def mailbox_rank(labels: Sequence[str], main: str = "INBOX") -> Column:
 
 
 def decode_messages(raw: DataFrame) -> DataFrame:
-    """Decode MIME with the standard library, Arrow batch by batch.
+    """Headers and leaf parts of raw messages by column functions (``functions.mime``).
 
-    Output parts keep their order; the body is chosen by ``choose_body``.
+    Parts keep their order; the body is chosen by ``choose_body``. NULL bytes are an empty
+    message, an unreadable date is NULL, parts that are no text and texts in an unknown
+    charset are ''. Headers are decoded before the parts: a filter on headers comes first.
     """
+    heads = raw.select("mailbox", "uid", mime.raw_text(F.col("raw")).alias("_text")).select(
+        "*", mime.split_head(F.col("_text"))["head"].alias("_head")
+    )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import datetime as dt
-        from email import policy
-        from email.headerregistry import HeaderRegistry
-        from email.parser import BytesParser
-        from email.utils import parsedate_to_datetime
-
-        # Headers are read as decoded text only; parsing addresses costs far more.
-        plain_headers = HeaderRegistry(use_default_map=False)
-        parser = BytesParser(policy=policy.default.clone(header_factory=plain_headers))
-
-        def when(value):
-            try:
-                moment = parsedate_to_datetime(str(value)) if value else None
-            except (TypeError, ValueError):
-                return None
-            if moment is not None and moment.tzinfo is None:
-                moment = moment.replace(tzinfo=dt.timezone.utc)
-            return moment
-
-        def content(part):
-            try:
-                return str(part.get_content())
-            except (KeyError, LookupError, ValueError):
-                return ""
-
-        for batch in batches:
-            out = []
-            for mailbox, uid, data in zip(batch["mailbox"], batch["uid"], batch["raw"]):
-                message = parser.parsebytes(bytes(data))
-                leaves = [p for p in message.walk() if not p.is_multipart()]
-                out.append(
-                    {
-                        "mailbox": mailbox, "uid": uid,
-                        "message_id": str(message["Message-ID"] or "").strip(),
-                        "subject": str(message["Subject"] or ""),
-                        "sender": str(message["From"] or ""),
-                        "received_at": when(message["Date"]),
-                        "multipart": message.is_multipart(),
-                        "parts": [{"type": p.get_content_type(), "content": content(p)} for p in leaves],
-                    }
-                )
-            frame = pd.DataFrame(out, columns=["mailbox", "uid", "message_id", "subject", "sender", "received_at", "multipart", "parts"])
-            frame["received_at"] = pd.to_datetime(frame["received_at"], utc=True)
-            yield frame
-
-    return raw.select("mailbox", "uid", "raw").mapInPandas(
-        decode,
-        "mailbox string, uid bigint, message_id string, subject string, sender string, "
-        "received_at timestamp, multipart boolean, parts array<struct<type:string,content:string>>",
+    def decoded(name: str) -> Column:
+        return mime.decode_pieces(F.col(name))
+
+    named = heads.select(
+        "mailbox", "uid", "_text",
+        F.trim(mime.header(F.col("_head"), "message-id")).alias("message_id"),
+        mime.header_pieces(mime.header(F.col("_head"), "subject")).alias("_subject"),
+        mime.header_pieces(mime.header(F.col("_head"), "from")).alias("_sender"),
+        mime.message_date(mime.header(F.col("_head"), "date")).alias("received_at"),
+        mime.content_type(F.col("_head")).rlike("^(?:multipart/|message/rfc822$)").alias("multipart"),
+    ).select(
+        "mailbox", "uid", "_text", "message_id",
+        F.array_join(decoded("_subject"), "").alias("subject"),
+        F.array_join(decoded("_sender"), "").alias("sender"),
+        "received_at", "multipart",
+    )
+    parts = named.withColumn("_parts", mime.part_pieces(mime.leaf_texts(F.col("_text"))))
+    pieces = F.transform("_parts", lambda p: F.struct(p["data"].alias("data"), p["charset"].alias("charset")))
+    return parts.withColumn("_pieces", pieces).select(
+        "mailbox", "uid", "message_id", "subject", "sender", "received_at", "multipart",
+        F.zip_with(
+            "_parts", decoded("_pieces"), lambda p, text: F.struct(p["type"].alias("type"), text.alias("content"))
+        ).alias("parts"),
     )
 
 
