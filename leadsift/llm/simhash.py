@@ -27,7 +27,7 @@ SIMILAR = (4, 5)
 #: Sets of at most so many shingles meet by a shared shingle, since few votes make SimHash bits unsteady.
 SHORT = 48
 #: Shingles of one group of candidates that are compared together; larger groups are dealt into parts.
-SET_BLOCK = 1 << 20
+SET_BLOCK = 1 << 18
 MIX = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -161,33 +161,73 @@ def linked(rows: DataFrame, most: int, block: int = KEY_BLOCK) -> DataFrame:
     """Links (`a`, `b`) that connect, within each `_key`, what differs in at most `most` bits.
 
     `rows` has `_key` (long), `_id` (long) and `_words` (array of longs). What shares a key is
-    searched together. A key of more than `block` rows is dealt into parts of about that size by a
-    hash of the row, and every two parts meet in a task of their own: no task holds more than about
-    two parts and no link is lost. Such keys are found by a count with map-side combining. A search
-    over n rows gives fewer than n links, which connect the same rows as all its pairs would.
+    searched together, large keys as `_connected` says. A search over n rows gives fewer than n
+    links, which connect the same rows as all its pairs would.
     """
-    large = written(
-        rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("_key", F.ceil(F.col("_n") / block).alias("_parts")),
-        "large-keys",
-    )
-    ordered = _dealt(rows, large).repartition("_key").sortWithinPartitions("_key", "_words", "_id")
 
     def search(column: pa.ListArray) -> np.ndarray:
         return GrayIndex(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)).roots(most)
 
-    return _searched(ordered, "_words", search)
+    return _connected(rows.withColumn("_n", F.lit(1).cast("long")), "_words", search, block)
+
 
+def _connected(
+    rows: DataFrame, values: str, search: Callable[[pa.ListArray], np.ndarray], block: int,
+    fill: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Links (`a`, `b`) that connect, within each `_key`, what `search` links; no task holds a large key.
 
-def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """`rows` with the keys of `large` (`_key`, `_parts`) dealt into parts of which every two share a new key."""
+    `rows` has `_key`, `_id`, its weight `_n` and what `fill` needs to append `values`. A key of
+    more than `block` weight, found by a sum with map-side combining, is dealt into parts by a hash
+    of the row, and its smallest row is put into every part: what is close to it, or to
+    something close to it in the same part, is joined in the first pass, so work on a group of
+    copies grows with the group and not with its square. Rows of a key that lie outside its heaviest
+    component then meet every part; rows of one component need not meet. Where these others
+    exceed a block themselves, every two parts meet instead. No link is lost either way.
+    """
+    large = written(
+        rows.groupBy("_key").agg(F.sum("_n").alias("_n"), F.min("_id").alias("_hub")).where(F.col("_n") > block)
+        .select("_key", "_hub", F.ceil(F.col("_n") / block).alias("_parts")),
+        "large-keys",
+    )
+    # Spark broadcasts the table of large keys if its size is below the session's threshold.
+    marked = rows.join(large, "_key", "left")
     part = F.pmod(F.xxhash64("_id"), F.col("_parts"))
-    meets = F.transform(
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: F.xxhash64("_key", j))
+    own = F.array(F.xxhash64("_key", part))
+    keys = F.when(F.col("_parts").isNull(), F.array("_key")).when(F.col("_id") == F.col("_hub"), every).otherwise(own)
+    others = [c for c in rows.columns if c not in ("_key", "_n")]
+
+    def searched(dealt: DataFrame) -> DataFrame:
+        filled = (fill or (lambda df: df))(dealt).select(F.explode("_keys").alias("_key"), "_id", values)
+        return _searched(filled.repartition("_key").sortWithinPartitions("_key", "_id"), values, search)
+
+    first = written(searched(marked.select(*others, keys.alias("_keys"))).distinct(), "links-first")
+    if large.isEmpty():
+        return first
+    labels = components(first)
+    placed = written(
+        rows.join(large, "_key").join(labels.withColumnRenamed("node", "_id"), "_id", "left")
+        .select("_key", "_id", "_n", "_parts", F.coalesce("label", "_id").alias("_label")),
+        "large-placed",
+    )
+    shares = placed.groupBy("_key", "_label").agg(F.sum("_n").alias("_n"))
+    rest = written(
+        shares.groupBy("_key").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main"), (F.sum("_n") - F.max("_n")).alias("_rest"))
+        .where("_rest > 0"),
+        "large-rest",
+    )
+    if rest.isEmpty():
+        return first
+    pairs = F.transform(
         F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: j != F.col("_part")),
         lambda j: F.xxhash64("_key", F.least("_part", j), F.greatest("_part", j)),
     )
-    others = [c for c in rows.columns if c != "_key"]
-    keys = F.when(F.col("_parts").isNull(), F.array("_key")).otherwise(meets)
-    return rows.join(F.broadcast(large), "_key", "left").withColumn("_part", part).select(F.explode(keys).alias("_key"), *others)
+    meets = F.when(F.col("_rest") > block, pairs).when(F.col("_label") == F.col("_main"), own).otherwise(every)
+    again = written(
+        placed.join(rest, "_key").withColumn("_part", part).select("_key", "_id", meets.alias("_keys")), "large-again"
+    )
+    return first.unionByName(searched(rows.join(again, ["_key", "_id"]).select(*others, "_keys")))
 
 
 def _searched(ordered: DataFrame, values: str, search: Callable[[pa.ListArray], np.ndarray]) -> DataFrame:
@@ -358,23 +398,19 @@ def short_keys(hashes: np.ndarray) -> list[int]:
     return distinct[: _prefix(n)].view(np.int64).tolist()
 
 
-def similar(sets: DataFrame, sizes: DataFrame, block: int = SET_BLOCK) -> DataFrame:
+def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], block: int = SET_BLOCK) -> DataFrame:
     """Links (`a`, `b`) that connect, within each `_key`, the sets of at least `SIMILAR`.
 
-    `sets` has `_key` (long), `_id` (long) and `_set` (ascending distinct longs as unsigned);
-    `sizes` has `_key` and the size `_n` of each. Keys of more than `block` values are dealt into
-    parts that meet pairwise, so a task holds about two parts whatever the size of a key.
+    `rows` has `_key` (long), `_id` (long) and the size `_n` of each set; `sets` appends `_set`
+    (ascending distinct longs as unsigned) to rows with `_id`. Keys of more than `block` values are
+    dealt into parts, as `_connected` says.
     """
-    large = written(
-        sizes.groupBy("_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") > block).select("_key", F.ceil(F.col("_n") / block).alias("_parts")),
-        "large-groups",
-    )
 
     def search(column: pa.ListArray) -> np.ndarray:
         sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         return similar_roots(sizes, column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
 
-    return _searched(_dealt(sets, large).repartition("_key").sortWithinPartitions("_key", "_id"), "_set", search)
+    return _connected(rows, "_set", search, block, sets)
 
 
 def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -418,9 +454,12 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc
     near = near.unionByName(nodes.select(F.explode("_short").alias("_key"), "_id", F.array(*[F.lit(0).cast("long")] * len(MIX)).alias("_words")))
     met = components(linked(near, most).distinct()).select(F.col("node").alias("_id"), F.col("label").alias("_key"))
     met = written(nodes.select("_id", "_n").join(met, "_id"), "near-met")
-    texts = met.select("_key", "_id").join(base.select(F.col("_row").alias("_id"), "_text"), "_id")
-    sets = with_results(texts, "_text", [T.StructField("_set", T.ArrayType(T.LongType()))], sets_of, drop_text=True)
-    labels = components(similar(sets, met).distinct())
+
+    def sets(of: DataFrame) -> DataFrame:
+        texts = of.join(base.select(F.col("_row").alias("_id"), "_text"), "_id")
+        return with_results(texts, "_text", [T.StructField("_set", T.ArrayType(T.LongType()))], sets_of, drop_text=True)
+
+    labels = components(similar(met, sets).distinct())
     groups = written(
         nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select("_name", "_first", F.coalesce("label", "_id").alias("_group")),
         "near-groups",
