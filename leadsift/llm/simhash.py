@@ -27,7 +27,7 @@ SIMILAR = (4, 5)
 #: Sets of at most so many shingles meet by a shared shingle, since few votes make SimHash bits unsteady.
 SHORT = 48
 #: Shingles of one group of candidates that are compared together; larger groups are dealt into parts.
-SET_BLOCK = 1 << 18
+SET_BLOCK = 1 << 20
 MIX = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -172,12 +172,11 @@ def linked(rows: DataFrame, most: int, block: int = KEY_BLOCK) -> DataFrame:
 
 
 def _connected(
-    rows: DataFrame, values: str, search: Callable[[pa.ListArray], np.ndarray], block: int,
-    fill: Callable[[DataFrame], DataFrame] | None = None,
+    rows: DataFrame, values: str, search: Callable[[pa.ListArray], np.ndarray], block: int
 ) -> DataFrame:
     """Links (`a`, `b`) that connect, within each `_key`, what `search` links; no task holds a large key.
 
-    `rows` has `_key`, `_id`, its weight `_n` and what `fill` needs to append `values`. A key of
+    `rows` has `_key`, `_id`, its weight `_n` and `values`. A key of
     more than `block` weight, found by a sum with map-side combining, is dealt into parts by a hash
     of the row, and its smallest row is put into every part: what is close to it, or to
     something close to it in the same part, is joined in the first pass, so work on a group of
@@ -199,7 +198,7 @@ def _connected(
     others = [c for c in rows.columns if c not in ("_key", "_n")]
 
     def searched(dealt: DataFrame) -> DataFrame:
-        filled = (fill or (lambda df: df))(dealt).select(F.explode("_keys").alias("_key"), "_id", values)
+        filled = dealt.select(F.explode("_keys").alias("_key"), "_id", values)
         return _searched(filled.repartition("_key").sortWithinPartitions("_key", "_id"), values, search)
 
     first = written(searched(marked.select(*others, keys.alias("_keys"))).distinct(), "links-first")
@@ -230,6 +229,18 @@ def _connected(
     return first.unionByName(searched(rows.join(again, ["_key", "_id"]).select(*others, "_keys")))
 
 
+def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """`rows` with the keys of `large` (`_key`, `_parts`) dealt into parts of which every two share a new key."""
+    part = F.pmod(F.xxhash64("_id"), F.col("_parts"))
+    meets = F.transform(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: j != F.col("_part")),
+        lambda j: F.xxhash64("_key", F.least("_part", j), F.greatest("_part", j)),
+    )
+    others = [c for c in rows.columns if c != "_key"]
+    keys = F.when(F.col("_parts").isNull(), F.array("_key")).otherwise(meets)
+    return rows.join(large, "_key", "left").withColumn("_part", part).select(F.explode(keys).alias("_key"), *others)
+
+
 def _searched(ordered: DataFrame, values: str, search: Callable[[pa.ListArray], np.ndarray]) -> DataFrame:
     """Links (`a`, `b`) from each `_id` to that of its root, as `search` finds them in the lists of one `_key`."""
 
@@ -398,19 +409,23 @@ def short_keys(hashes: np.ndarray) -> list[int]:
     return distinct[: _prefix(n)].view(np.int64).tolist()
 
 
-def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], block: int = SET_BLOCK) -> DataFrame:
+def similar(sets: DataFrame, sizes: DataFrame, block: int = SET_BLOCK) -> DataFrame:
     """Links (`a`, `b`) that connect, within each `_key`, the sets of at least `SIMILAR`.
 
-    `rows` has `_key` (long), `_id` (long) and the size `_n` of each set; `sets` appends `_set`
-    (ascending distinct longs as unsigned) to rows with `_id`. Keys of more than `block` values are
-    dealt into parts, as `_connected` says.
+    `sets` has `_key` (long), `_id` (long) and `_set` (ascending distinct longs as unsigned);
+    `sizes` has `_key` and the size `_n` of each. Keys of more than `block` values are dealt into
+    parts that meet pairwise, so a task holds about two parts whatever the size of a key.
     """
+    large = written(
+        sizes.groupBy("_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") > block).select("_key", F.ceil(F.col("_n") / block).alias("_parts")),
+        "large-groups",
+    )
 
     def search(column: pa.ListArray) -> np.ndarray:
         sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         return similar_roots(sizes, column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
 
-    return _connected(rows, "_set", search, block, sets)
+    return _searched(_dealt(sets, large).repartition("_key").sortWithinPartitions("_key", "_id"), "_set", search)
 
 
 def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -455,11 +470,9 @@ def near_copies(docs: DataFrame, width: int = 5, most: int = 60, key: str = "doc
     met = components(linked(near, most).distinct()).select(F.col("node").alias("_id"), F.col("label").alias("_key"))
     met = written(nodes.select("_id", "_n").join(met, "_id"), "near-met")
 
-    def sets(of: DataFrame) -> DataFrame:
-        texts = of.join(base.select(F.col("_row").alias("_id"), "_text"), "_id")
-        return with_results(texts, "_text", [T.StructField("_set", T.ArrayType(T.LongType()))], sets_of, drop_text=True)
-
-    labels = components(similar(met, sets).distinct())
+    texts = met.select("_key", "_id").join(base.select(F.col("_row").alias("_id"), "_text"), "_id")
+    sets = with_results(texts, "_text", [T.StructField("_set", T.ArrayType(T.LongType()))], sets_of, drop_text=True)
+    labels = components(similar(sets, met).distinct())
     groups = written(
         nodes.join(labels.withColumnRenamed("node", "_id"), "_id", "left").select("_name", "_first", F.coalesce("label", "_id").alias("_group")),
         "near-groups",
