@@ -38,6 +38,15 @@ def test_long_lists_are_joined_by_pieces(spark):
     assert allowed_by_list(mail, listed.limit(0), 0).count() == 0
 
 
+def test_pieces_of_long_tokens_stay_in_their_row(spark):
+    texts = spark.createDataFrame([("user 1 <0123456789ab@mail.example>",), ("user 2 <ffff@mail.example>",)], "text STRING")
+    tokens = spark.createDataFrame([("0123456789ab",), ("@mail.",), ("fffff",), ("nobody at all",)], "token STRING")
+    found = contained_tokens(texts, tokens)
+    assert sorted(r.token for r in found.collect()) == ["0123456789ab", "@mail.", "@mail."]
+    # Pieces of texts of two widths; none of tokens, and no texts are cut for tokens that are not there.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
 def test_snapshots_as_of_equal_a_scan(spark):
     rng = random.Random(9)
     shots = [(f"u{rng.randint(0, 5)}", START + dt.timedelta(hours=rng.randint(0, 200)), f"f{i}") for i in range(120)]
