@@ -236,7 +236,8 @@ def is_digest(subject: Column, sender: Column, body: Column) -> Column:
 
 
 def card_line(line: Column) -> Column:
-    return F.btrim(squeeze(F.regexp_replace(line, URL, "")), F.lit(" -*|"))
+    bare = F.when(line.contains("://"), F.regexp_replace(line, URL, "")).otherwise(line)
+    return F.btrim(squeeze(bare), F.lit(" -*|"))
 
 
 def is_card_noise(line: Column) -> Column:
@@ -244,9 +245,11 @@ def is_card_noise(line: Column) -> Column:
 
 
 def strip_card_suffix(line: Column) -> Column:
+    cut = line
     for pattern in CARD_SUFFIXES:
-        line = F.regexp_replace(line, pattern, "")
-    return strip(line)
+        cut = F.regexp_replace(cut, pattern, "")
+    # Both suffixes hold a digit, and few lines do.
+    return strip(F.when(line.rlike("[0-9]"), cut).otherwise(line))
 
 
 def is_card_title(line: Column) -> Column:
@@ -260,20 +263,33 @@ def is_card_place(line: Column) -> Column:
     return F.lower(line).rlike(PLACE_WORDS) | line.rlike(REGION_CODES)
 
 
+#: Kinds of a card's line.
+_DROPPED, _PLAIN, _TITLE, _PLACE = -1, 0, 1, 2
+
+
+def card_lines(body: Column) -> Column:
+    """Lines of a message as (url, text, kind); each is searched once, whatever cards it lies in."""
+
+    def read(line: Column) -> Column:
+        url = F.when(line.contains("://"), F.rtrim(F.regexp_extract(line, f"({CARD_URL})", 1), F.lit(").,")))
+        kind = lambda x: (
+            F.when((x == "") | is_card_noise(x), _DROPPED)
+            .when(is_card_title(x), _TITLE).when(is_card_place(x), _PLACE).otherwise(_PLAIN)
+        )
+        return let(card_line(line), lambda x: F.struct(url.alias("url"), x.alias("text"), kind(x).alias("kind")))
+
+    return F.transform(nonblank_lines(body), read)
+
+
 def is_card_company(line: Column) -> Column:
-    return (
-        (line != "")
-        & ~is_card_noise(line)
-        & ~line.rlike(dates.POSTED_ON)
-        & ~is_card_place(line)
-        & ~is_card_title(line)
-        & (F.size(F.split(line, " ")) <= 5)
-    )
+    """Of a line struct: plain, short and no posting date."""
+    text = line["text"]
+    return (line["kind"] == _PLAIN) & (F.size(F.split(text, " ")) <= 5) & ~text.rlike(dates.POSTED_ON)
 
 
 def card_title_index(card: Column) -> Column:
     """0-based index of the first title-like line, -1 when there is none."""
-    return (F.array_position(F.transform(card, is_card_title), F.lit(True)) - 1).cast("int")
+    return (F.array_position(F.transform(card, lambda x: x["kind"]), F.lit(_TITLE)) - 1).cast("int")
 
 
 def card_company_line(card: Column, at: Column) -> Column:
@@ -281,15 +297,15 @@ def card_company_line(card: Column, at: Column) -> Column:
     after = F.slice(card, at + 2, F.lit(4))
     first = F.greatest(at - 3, F.lit(0))
     before = F.reverse(F.slice(card, first + 1, at - first))
-    return F.get(F.filter(F.concat(after, before), is_card_company), F.lit(0))
+    return F.get(F.filter(F.concat(after, before), is_card_company), F.lit(0))["text"]
 
 
 def card_place(card: Column) -> Column:
-    return F.get(F.filter(card, lambda x: is_card_place(x) & ~is_card_title(x)), F.lit(0))
+    return F.get(F.filter(card, lambda x: x["kind"] == _PLACE), F.lit(0))["text"]
 
 
 def message_cards(body: Column) -> Column:
-    """Array of card structs (card_idx, url, title, company, lines) of a message.
+    """Array of card structs (card_idx, url, title, company, place, text) of a message.
 
     Each posting URL owns the lines from the previous URL (eight at most) to four
     lines after it. A card needs a title and a company and must be the first of
@@ -299,7 +315,7 @@ def message_cards(body: Column) -> Column:
     def windows(all_lines: Column) -> Column:
         at = F.filter(
             F.sequence(F.lit(0), F.greatest(F.size(all_lines) - 1, F.lit(0))),
-            lambda i: F.coalesce(F.get(all_lines, i), F.lit("")).rlike(CARD_URL),
+            lambda i: F.coalesce(F.get(all_lines, i)["url"], F.lit("")) != "",
         )
         return let(
             at,
@@ -307,14 +323,11 @@ def message_cards(body: Column) -> Column:
                 ix,
                 lambda i, k: F.struct(
                     i.alias("pos"),
-                    F.rtrim(
-                        F.regexp_extract(F.get(all_lines, i), f"({CARD_URL})", 1), F.lit(").,")
-                    ).alias("url"),
+                    F.get(all_lines, i)["url"].alias("url"),
                     let(
                         F.greatest(F.coalesce(F.get(ix, k - 1) + 1, F.lit(0)), i - 8, F.lit(0)),
                         lambda start: F.filter(
-                            F.transform(F.slice(all_lines, start + 1, i + 5 - start), card_line),
-                            lambda x: (x != "") & ~is_card_noise(x),
+                            F.slice(all_lines, start + 1, i + 5 - start), lambda x: x["kind"] != _DROPPED
                         ),
                     ).alias("lines"),
                 ),
@@ -325,7 +338,7 @@ def message_cards(body: Column) -> Column:
         return let(
             card_title_index(card["lines"]),
             lambda at: F.struct(
-                F.when(at >= 0, clean_title(strip_card_suffix(F.get(card["lines"], at)))).alias("title"),
+                F.when(at >= 0, clean_title(strip_card_suffix(F.get(card["lines"], at)["text"]))).alias("title"),
                 F.when(
                     at >= 0,
                     let(
@@ -357,7 +370,7 @@ def message_cards(body: Column) -> Column:
         return F.filter(cards, is_first)
 
     complete = F.filter(
-        F.transform(let(nonblank_lines(body), windows), named),
+        F.transform(let(card_lines(body), windows), named),
         lambda c: (F.coalesce(c["title"], F.lit("")) != "") & (F.coalesce(c["company"], F.lit("")) != ""),
     )
     unique = let(F.array_sort(F.transform(complete, keyed)), first_of_key)
@@ -365,8 +378,8 @@ def message_cards(body: Column) -> Column:
         unique,
         lambda c: F.struct(
             c["pos"].alias("card_idx"), c["url"].alias("url"), c["title"].alias("title"),
-            c["company"].alias("company"), c["lines"].alias("lines"),
-            F.array_join(c["lines"], "\n").alias("text"),
+            c["company"].alias("company"), card_place(c["lines"]).alias("place"),
+            F.array_join(F.transform(c["lines"], lambda x: x["text"]), "\n").alias("text"),
         ),
     )
 
@@ -381,8 +394,7 @@ def _card_column(as_of) -> list[Column]:
     whole = F.array(
         F.struct(
             F.lit(0).alias("card_idx"), null.alias("url"), null.alias("title"),
-            null.alias("company"), F.lit(None).cast("array<string>").alias("lines"),
-            F.col("body").alias("text"),
+            null.alias("company"), null.alias("place"), F.col("body").alias("text"),
         )
     )
     return [
@@ -422,7 +434,7 @@ def _field_columns(as_of) -> list[Column]:
     text, low, digest = F.col("card.text"), F.col("low"), F.col("digest")
     now = dates.timestamp(as_of)
     return [
-        F.when(digest, card_place(F.col("card.lines")))
+        F.when(digest, F.col("card.place"))
         .otherwise(labelled(text, low, "Location"))
         .alias("location"),
         work_mode(low).alias("work_mode"),

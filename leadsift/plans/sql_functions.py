@@ -120,10 +120,9 @@ def register_functions(spark: SparkSession, prefix: str = "") -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({header}) RETURN {sql_text(body)}")
         made.append(prefix + name)
     cards = extract.message_cards(F.coalesce(F.col("body"), F.lit("")))
-    place = extract.card_place(F.col("lines"))
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}posting_cards(`body` STRING) "
         "RETURNS TABLE (card_idx INT, company STRING, title STRING, location STRING, url STRING, text STRING) "
-        f"RETURN SELECT card_idx, company, title, {sql_text(place)} AS location, url, text FROM inline({sql_text(cards)})"
+        f"RETURN SELECT card_idx, company, title, place AS location, url, text FROM inline({sql_text(cards)})"
     )
     return [*made, prefix + "posting_cards"]

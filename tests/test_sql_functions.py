@@ -36,3 +36,7 @@ def test_sql_text_is_parsed_back_to_the_same_rows(spark):
     texts = spark.createDataFrame([(t,) for t in TEXTS], "body STRING")
     column = message_cards(F.coalesce(F.col("body"), F.lit("")))
     assert texts.select(F.expr(sql_text(column)).alias("v")).collect() == texts.select(column.alias("v")).collect()
+
+
+def test_a_line_is_searched_for_a_title_once(spark):
+    assert sql_text(message_cards(F.col("body"))).count("platform engineer") == 1
