@@ -262,11 +262,27 @@ def _too_few_splits(spark: SparkSession, sf_dir: str, name: str) -> int:
     return cores if splits < cores else 0
 
 
+#: Rows of a message or state table in a task: its text rules cost up to a millisecond a row.
+ROWS_A_TASK = 50_000
+
+
+def _tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks to spread a table over, by its rows; 0 when its own splits do.
+
+    Splits are cut by bytes and Parquet reads whole row groups, so that splits may be empty and
+    one may hold most rows: their number says little about a task's share.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    wanted = -(-rows // ROWS_A_TASK)
+    return wanted if wanted > spark.sparkContext.defaultParallelism else _too_few_splits(spark, sf_dir, name)
+
+
 def for_spark(spark: SparkSession, sql: str, sf_dir: str) -> str:
     names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    source = "lineitem" if "{lineitem}" in sql else "orders"
-    cores = _too_few_splits(spark, sf_dir, source) if "{spread}" in sql else 0
-    hint = f"/*+ REPARTITION({cores}) */" if cores else ""
+    tasks = 0
+    if "{spread}" in sql:
+        tasks = _too_few_splits(spark, sf_dir, "lineitem") if "{lineitem}" in sql else _tasks(spark, sf_dir, "orders")
+    hint = f"/*+ REPARTITION({tasks}) */" if tasks else ""
     return _fill(sql, names | {"hours": _STATE_HOURS["spark"], "spread": hint})
 
 
@@ -283,7 +299,8 @@ def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     df = spark.sql(for_spark(spark, sql, sf_dir))
     if sql in (ALERTS, CARD_MAIL):
         df = df.select(F.inline(F.array(F.struct(*df.columns))))
-    return df
+    tasks = _tasks(spark, sf_dir, "part") if sql == STATE else 0
+    return df.repartition(tasks) if tasks else df
 
 
 def streamed(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from bindings import relations
 from leadsift.operators.digest import ranked_rows
 from leadsift.operators.pages import snapshot_at
 from leadsift.operators.relevance import allowed_by_list, contained_tokens
@@ -47,6 +48,12 @@ def test_pieces_of_long_tokens_stay_in_their_row(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
 
 
+def test_messages_are_spread_by_rows(spark, tmp_path):
+    rows = 9 * relations.ROWS_A_TASK + 1
+    spark.range(rows).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert "REPARTITION(10)" in relations.for_spark(spark, relations.CARD_MAIL, str(tmp_path))
+
+
 def test_snapshots_as_of_equal_a_scan(spark):
     rng = random.Random(9)
     shots = [(f"u{rng.randint(0, 5)}", START + dt.timedelta(hours=rng.randint(0, 200)), f"f{i}") for i in range(120)]
