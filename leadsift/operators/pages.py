@@ -27,7 +27,8 @@ BLOCKED_ERROR = "LinkedIn alert URL has no canonical posting URL."
 def decode_payload(payload: Column, content_type: Column) -> Column:
     """Bytes -> text by the charset of the content type, bad bytes replaced.
 
-    An Arrow UDF: Spark's own decoder knows seven charsets and fails on bad bytes.
+    Valid UTF-8 is cast. The rest goes through an Arrow UDF: Spark's own decoder knows seven charsets
+    and fails on bad bytes.
     """
 
     @F.pandas_udf("string")
@@ -43,7 +44,9 @@ def decode_payload(payload: Column, content_type: Column) -> Column:
         return pd.Series([one(r, n) for r, n in zip(data, charset)], dtype="object")
 
     charset = F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=([^;\s]+)", 1)
-    return decode(payload, charset)
+    text = payload.cast("string")
+    plain = F.coalesce(F.lower(charset).isin("", "utf-8", "utf8") & F.is_valid_utf8(text), F.lit(False))
+    return F.when(plain, text).otherwise(decode(F.when(~plain, payload), charset))
 
 
 def quality_error(text: Column, url: Column) -> Column:

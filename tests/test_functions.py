@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leadsift.functions import dates, html, labels, money, names, text
 from leadsift.operators.commands import command_status
-from leadsift.operators.pages import quality_error
+from leadsift.operators.pages import decode_payload, quality_error
 from leadsift.operators.segments import split_segments
 
 
@@ -68,3 +68,11 @@ def test_pages(value):
     assert value(quality_error(F.lit("fine"), F.lit("https://linkedin.com/ssr-login"))) == "login wall detected"
     assert value(quality_error(F.lit("short"), url)) == "description text below 500 characters"
     assert value(quality_error(F.lit("word " * 120), url)) is None
+
+
+def test_valid_utf8_payloads_are_cast(spark):
+    rows = [(1, b"caf\xc3\xa9", "text/html; charset=UTF-8"), (2, b"\xffa", None), (3, b"caf\xe9", "text/html; charset=latin-1"), (4, None, ""), (5, b"x", "text/html; charset=nope")]
+    found = spark.createDataFrame(rows, "id INT, payload BINARY, kind STRING").select("id", decode_payload(F.col("payload"), F.col("kind")).alias("text"))
+    assert [r.text for r in found.orderBy("id").collect()] == ["café", "�a", "café", None, "x"]
+    # What is cast reaches Python as null.
+    assert "is_valid_utf8" in found._jdf.queryExecution().analyzed().toString().lower()
