@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leadsift.functions.dates import timestamp
 from leadsift.functions.labels import normalize_status
 from leadsift.functions.money import estimate_salary
-from leadsift.operators.dedupe import fingerprint
+from leadsift.operators.dedupe import IDENTITY, fingerprint
 from leadsift.operators.score import normalize_postings
 
 STATE_COLUMNS = {
@@ -57,6 +57,8 @@ REFRESHED = (
     "source_email", "posted_date", "is_expired", "score", "category", "explanation",
 )
 REWRITTEN = ("job_fingerprint", *REFRESHED)
+# Refreshed columns that an occurrence has beside its identity; the others follow from these.
+_OCCURRENCE = tuple(c for c in REFRESHED if c not in (*IDENTITY, "salary_estimate", "source_url"))
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
@@ -79,20 +81,27 @@ def fold_sightings(
 
     ``seen_at`` names a time column when occurrences carry their own run time.
     Aggregated map-side first, so one posting seen very often stays one small row
-    per task before the shuffle.
+    per task before the shuffle. Names are normalised once for each spelling of a
+    posting and not once for each occurrence; spellings with equal fingerprints are
+    folded again.
     """
-    rows = normalize_postings(scored).withColumns(
-        {"salary_estimate": estimate_salary(F.col("salary_range")), "source_url": F.col("job_link")}
-    )
-    rows = rows.withColumn("job_fingerprint", fingerprint())
     rank = F.struct(*([F.col(seen_at)] if seen_at else []), *[F.col(c) for c in order])
-    times = (
-        [F.min(seen_at).alias("first_at"), F.max(seen_at).alias("last_at")] if seen_at else []
+    times = [(F.min, seen_at, "first_at"), (F.max, seen_at, "last_at")] if seen_at else []
+    spelled = scored.groupBy(*IDENTITY).agg(
+        F.count(F.lit(1)).alias("occurrences"),
+        F.max(rank).alias("_rank"),
+        F.max_by(F.struct(*_OCCURRENCE), rank).alias("_last"),
+        *[fold(column).alias(name) for fold, column, name in times],
     )
+    rows = normalize_postings(spelled).withColumn("job_fingerprint", fingerprint())
+    fields = {c: F.col(f"_last.{c}") for c in _OCCURRENCE} | {
+        "salary_estimate": estimate_salary(F.col("_last.salary_range")), "source_url": F.col("job_link"),
+    }
+    latest = F.struct(*[fields.get(c, F.col(c)).alias(c) for c in REFRESHED])
     return rows.groupBy("job_fingerprint").agg(
-        F.count(F.lit(1)).cast("int").alias("occurrences"),
-        F.max_by(F.struct(*REFRESHED), rank).alias("latest"),
-        *times,
+        F.sum("occurrences").cast("int").alias("occurrences"),
+        F.max_by(latest, F.col("_rank")).alias("latest"),
+        *[fold(name).alias(name) for fold, _, name in times],
     )
 
 

@@ -1,5 +1,6 @@
 """Snapshots, replays, maintenance and streams."""
 
+import datetime as dt
 import json
 import shutil
 from pathlib import Path
@@ -173,3 +174,29 @@ def test_old_state_gets_all_columns(spark):
     row = st.evolve_state(old, DAY1).first()
     assert (row.salary_estimate, row.source_url, row.is_expired) == (100000, "https://a", False)
     assert list(row.asDict()) == list(st.STATE_COLUMNS)
+
+
+def test_names_are_normalised_after_the_first_fold(spark):
+    """Spellings fold into one fingerprint; text rules run over spellings and not over occurrences."""
+    fields = "company STRING, title STRING, location STRING, work_mode STRING, salary_range STRING, seniority STRING, required_skills ARRAY<STRING>, preferred_skills ARRAY<STRING>"
+    schema = f"msg_seq BIGINT, card_idx INT, seen_at TIMESTAMP, {fields}, job_link STRING, source_email STRING, posted_date STRING, is_expired BOOLEAN, score INT, category STRING, explanation STRING"
+    at = [dt.datetime(2026, 7, d) for d in (1, 2, 3)]
+    rows = [
+        (i, 0, when, company, "ml engineer", place, None, pay, None, ["RAG"], [], link, "a@x.example", None, False, i, "Skip", f"why {i}")
+        for i, (when, company, place, pay, link) in enumerate([
+            (at[1], "cohere", None, "CA$100k", None), (at[2], " Cohere ", "", "CA$200k", ""), (at[0], "cohere", None, "CA$300k", None),
+            (None, "cohere", "", None, None), (at[2], None, None, None, "l"), (None, "Unknown", None, None, "l"),
+        ])
+    ]
+    fold = st.fold_sightings(spark.createDataFrame(rows, schema), seen_at="seen_at")
+    got = {r.latest.company: r for r in fold.collect()}
+    assert set(got) == {"Cohere", "Unknown"}
+    cohere, unknown = got["Cohere"], got["Unknown"]
+    assert (cohere.occurrences, cohere.first_at, cohere.last_at) == (4, at[0], at[2])
+    assert (cohere.latest.score, cohere.latest.salary_range, cohere.latest.salary_estimate, cohere.latest.source_url) == (1, "CA$200k", 200_000, "")
+    assert (unknown.occurrences, unknown.latest.score, unknown.latest.source_url) == (2, 4, "l")
+    assert [f.dataType.simpleString() for f in fold.schema.fields if f.name in ("job_fingerprint", "occurrences")] == ["string", "int"]
+    lines = fold._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    normalised = [i for i, line in enumerate(lines) if "sha2(" in line]
+    folds = [i for i, line in enumerate(lines) if "Aggregate [" in line]
+    assert len(folds) == 2 and normalised and folds[0] < min(normalised) and max(normalised) < folds[1]
