@@ -18,7 +18,7 @@ from leadsift.sources.shared import shared_folder
 from leadsift.sources.snapshots import StateTable
 from leadsift.streaming import jobs
 from leadsift.streaming.runs import emitted, run_available
-from leadsift.streaming.sightings import latest_states, sighting_states
+from leadsift.streaming.sightings import folded_spellings, latest_states, sighting_states
 
 
 def _finished(stream, mode: str = "append"):
@@ -42,7 +42,9 @@ def _fold_view(df):
 @query("streamed_sighting_states", ORACLES["sighting_fold"])
 def streamed_sighting_states(spark, sf):
     """Keyed state in the state store, updated by the sighting stream."""
-    return _fold_view(latest_states(_finished(sighting_states(_sighting_stream(spark, sf)), "update")))
+    spelled = normalize_postings(folded_spellings(rel.streamed(spark, sf, rel.SIGHTINGS, "lineitem")))
+    seen = spelled.select(fingerprint().alias("job_fingerprint"), "occurrences", "first_at", "last_at")
+    return _fold_view(latest_states(_finished(sighting_states(seen), "update")))
 
 
 @query("streamed_sighting_counts", ORACLES["sighting_fold"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from leadsift.operators.dedupe import IDENTITY
 from leadsift.streaming.runs import needs_rocksdb
 
 PARTS = "job_fingerprint string, occurrences long, first_at timestamp, last_at timestamp"
@@ -53,6 +54,42 @@ def partly_folded(sightings: DataFrame) -> DataFrame:
     return sightings.select("job_fingerprint", "seen_at").where("job_fingerprint IS NOT NULL").mapInArrow(fold, PARTS)
 
 
+#: Spellings that a task holds before it passes them on.
+HELD_SPELLINGS = 200_000
+
+
+def folded_spellings(sightings: DataFrame) -> DataFrame:
+    """(identity columns, seen_at) -> (identity columns, occurrences, first_at, last_at), few rows a spelling.
+
+    Each task folds what it holds, so that a spelling seen very often travels as a few rows; equal
+    spellings then meet in one task and are folded again. What is costly for a name is left to be
+    done for each spelling and not for each sighting.
+    """
+    names = list(IDENTITY)
+    measures = ["occurrences", "first_at", "last_at"]
+
+    def folded(table: pa.Table) -> pa.Table:
+        out = table.group_by(names).aggregate([("occurrences", "sum"), ("first_at", "min"), ("last_at", "max")])
+        return out.select([*names, "occurrences_sum", "first_at_min", "last_at_max"]).rename_columns([*names, *measures])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            held.append(pa.table({c: batch.column(c) for c in batch.schema.names}))
+            waiting += batch.num_rows
+            if waiting >= HELD_SPELLINGS:
+                held = [folded(pa.concat_tables(held))]
+                waiting = 0
+                if held[0].num_rows >= HELD_SPELLINGS:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from folded(pa.concat_tables(held)).to_batches()
+
+    one = sightings.select(*[F.col(c).cast("string").alias(c) for c in names], F.lit(1).cast("long").alias("occurrences"), F.col("seen_at").alias("first_at"), F.col("seen_at").alias("last_at"))
+    schema = ", ".join(f"{c} string" for c in names) + ", occurrences long, first_at timestamp, last_at timestamp"
+    return one.mapInArrow(fold, schema).repartition(*names).mapInArrow(fold, schema)
+
+
 class SightingState(StatefulProcessor):
     """First, last and count of one fingerprint; forgotten after ``idle`` without a sighting.
 
@@ -101,14 +138,16 @@ class SightingState(StatefulProcessor):
 def sighting_states(sightings: DataFrame, idle: dt.timedelta | None = None, lateness: str = "0 seconds") -> DataFrame:
     """Sighting stream -> one row per fingerprint and micro-batch with running totals.
 
-    ``sightings(job_fingerprint, seen_at)``. Sightings may come in any order: times only widen.
+    ``sightings(job_fingerprint, seen_at)``, or ``(job_fingerprint, occurrences, first_at, last_at)``
+    where they are folded already. Sightings may come in any order: times only widen.
     State lives in the RocksDB store under the query's checkpoint, so a restart counts nothing
     twice. Without ``idle`` nothing is forgotten. With it, a fingerprint not seen for so long (by
     the watermark, ``lateness`` behind the latest sighting) leaves the state and starts anew if it
     comes back. Rows without a fingerprint are left out.
     """
     needs_rocksdb(sightings.sparkSession)
-    folded = partly_folded(sightings)
+    counted = "occurrences" in sightings.columns
+    folded = sightings.select("job_fingerprint", "occurrences", "first_at", "last_at").where("job_fingerprint IS NOT NULL") if counted else partly_folded(sightings)
     if idle is not None:
         folded = folded.withWatermark("last_at", lateness)
     return folded.groupBy("job_fingerprint").transformWithState(

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from leadsift.streaming import sightings
 from leadsift.functions.dates import timestamp
 from leadsift.streaming.jobs import counted_intake, recent, unique_messages
 from leadsift.streaming.runs import emitted, run_available
@@ -87,3 +88,16 @@ def test_counts_of_a_stream(spark, tmp_path):
     assert spark.read.parquet(f"{out}/scored/batch=*").count() == 3
     again = counted_intake(spark.readStream.schema(schema).parquet(str(source)), "2026-07-01T00:00:00", out, checkpoint)
     assert again == dict.fromkeys(got, 0)
+
+
+def test_spellings_fold_before_names_are_normalised(spark, monkeypatch):
+    at = [dt.datetime(2026, 7, d) for d in (1, 2, 3)]
+    rows = [("cohere", None, None, "l", at[i % 3]) for i in range(50)] + [("Cohere ", None, None, "l", at[0]), (None, None, None, "l", at[1])]
+    seen = spark.createDataFrame(rows, "company STRING, title STRING, location STRING, job_link STRING, seen_at TIMESTAMP")
+    for held in (3, 200_000):
+        monkeypatch.setattr(sightings, "HELD_SPELLINGS", held)
+        got = {}
+        for r in sightings.folded_spellings(seen.repartition(4)).collect():
+            assert r.title is None and r.job_link == "l"
+            got.setdefault(r.company, []).append((r.occurrences, r.first_at, r.last_at))
+        assert got == {"cohere": [(50, at[0], at[2])], "Cohere ": [(1, at[0], at[0])], None: [(1, at[1], at[1])]}
