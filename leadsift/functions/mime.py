@@ -167,7 +167,9 @@ def header_pieces(value: Column) -> Column:
             ),
         ).otherwise(F.struct(F.encode(text, _BYTES).alias("data"), F.lit("utf-8").alias("charset")))
 
-    return F.transform(F.split(joined, rf"(?={_WORD})|(?<=\?=)"), piece)
+    plain = F.array(F.struct(F.encode(value, _BYTES).alias("data"), F.lit("utf-8").alias("charset")))
+    marked = value.contains("=?") | value.contains("?=")
+    return F.when(marked, F.transform(F.split(joined, rf"(?={_WORD})|(?<=\?=)"), piece)).otherwise(plain)
 
 
 def leaf_texts(text: Column) -> Column:
@@ -263,7 +265,9 @@ def leaf_texts(text: Column) -> Column:
         rest = F.slice(segments, F.lit(2), F.size(segments))
         return let(first, lambda state: F.aggregate(rest, state, step)["parts"])
 
-    return let(let(names, cut), folded)
+    # Without a multipart or an attached message in it the text is its only leaf.
+    nested = let(F.lower(text), lambda low: low.contains("multipart/") | low.contains("message/rfc822"))
+    return F.when(nested, let(let(names, cut), folded)).otherwise(F.array(text))
 
 
 def part_pieces(texts: Column) -> Column:
@@ -291,13 +295,19 @@ def message_date(value: Column) -> Column:
         r"^\s*(?:[A-Za-z]{3,9},?\s*)?([0-9]{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+([0-9]{4}|[0-9]{2})\s+"
         r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:\s+([+-][0-9]{4}|[A-Za-z]+))?"
     )
-    group = lambda i: F.regexp_extract(value, pattern, i)
-    number = lambda i: group(i).try_cast("int")
-    century = F.when(F.length(group(3)) == 4, 0).when(number(3) < 69, 2000).otherwise(1900)
-    local = F.try_make_timestamp(
-        number(3) + century, F.try_element_at(lit_map(_MONTHS), F.lower(group(2))).cast("int"), number(1),
-        number(4), number(5), F.coalesce(number(6), F.lit(0)).cast("decimal(8,6)"), F.lit("UTC"),
-    )
+    # One search: the seven groups as one text, '' where a group took no part.
+    groups = F.split(F.regexp_replace(value, rf"{pattern}[\s\S]*", ",".join(f"${i}" for i in range(1, 8))), ",")
+    found = F.when(value.rlike(pattern), groups).otherwise(F.array_repeat(F.lit(""), 7))
+
+    def read(found: Column) -> Column:
+        group = lambda i: F.get(found, F.lit(i - 1))
+        number = lambda i: group(i).try_cast("int")
+        century = F.when(F.length(group(3)) == 4, 0).when(number(3) < 69, 2000).otherwise(1900)
+        local = F.try_make_timestamp(
+            number(3) + century, F.try_element_at(lit_map(_MONTHS), F.lower(group(2))).cast("int"), number(1),
+            number(4), number(5), F.coalesce(number(6), F.lit(0)).cast("decimal(8,6)"), F.lit("UTC"),
+        )
+        return F.timestamp_seconds(F.unix_timestamp(local) - let(group(7), seconds))
 
     def seconds(zone: Column) -> Column:
         figures = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
@@ -307,5 +317,4 @@ def message_date(value: Column) -> Column:
             .otherwise(F.coalesce(hours * 3600, F.lit(0)))
         )
 
-    return F.timestamp_seconds(F.unix_timestamp(local) - let(group(7), seconds))
-
+    return let(found, read)

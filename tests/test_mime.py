@@ -7,6 +7,9 @@ from email.message import EmailMessage
 from email.parser import BytesParser
 from email.utils import parsedate_to_datetime
 
+from pyspark.sql import functions as F
+
+from leadsift.functions import mime
 from leadsift.sources.mailbox import choose_body, decode_messages
 
 
@@ -112,3 +115,14 @@ def test_only_other_charsets_reach_python_and_headers_come_first(spark):
     plan = decode_messages(rows).filter("received_at IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
     # The head's date is tested below both Arrow steps.
     assert plan.rindex("ArrowEvalPython") < plan.rindex("Filter")
+
+
+def test_a_date_is_searched_twice_and_a_single_part_is_its_own_leaf(spark):
+    dates = ["Thu, 02 Aug 2001 10:00:00 +0200", "2 Aug 2001 10:00", "Fri, 3-Aug-01 9:05 EST, extra", "31 Feb 2001 10:00:00 Z", "1 Jan 70 0:0:0", "", None]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(dates)], "i int, d string")
+    at = rows.select("i", F.unix_timestamp(mime.message_date(F.col("d"))).alias("at"))
+    assert [r.at for r in at.orderBy("i").collect()] == [996739200, 996746400, 996847500, None, None, None, None]
+    assert at._jdf.queryExecution().optimizedPlan().toString().count("[A-Za-z]{3,9}") <= 2
+    texts = ["Subject: a?=b\n\nbody", "Content-Type: MultiPart/mixed; boundary=q\n\n--q\n\nx\n--q--\n", "", None]
+    leaves = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mime.leaf_texts(F.col("t")).alias("l"))
+    assert [r.l for r in leaves.orderBy("i").collect()][:3] == [[texts[0]], ["\nx\n"], [""]]
