@@ -112,20 +112,26 @@ def sql_text(value: str) -> str:
     return f"'{escaped}'"
 
 
+def shortest(words: Iterable[str]) -> list[str]:
+    """The words that hold no other word: a text with any of ``words`` has one of these."""
+    once = list(dict.fromkeys(words))
+    return [w for w in once if not any(o != w and o in w for o in once)]
+
+
 def any_sql(name: str, words: Iterable[str]) -> str:
     """SQL test for any word inside the lower-cased text ``name``.
 
     Long word lists are written as SQL text: one driver call instead of several
     per word.
     """
-    return " OR ".join(f"contains({name}, {sql_text(w)})" for w in words) or "false"
+    return " OR ".join(f"contains({name}, {sql_text(w)})" for w in shortest(words)) or "false"
 
 
 def has_any(lowered: Column | str, words: Iterable[str]) -> Column:
     """True when any word is a substring of already lower-cased text."""
     if isinstance(lowered, str):
         return F.expr(any_sql(lowered, words))
-    return any_of([lowered.contains(w) for w in words])
+    return any_of([lowered.contains(w) for w in shortest(words)])
 
 
 def count_hits(lowered: Column, words: Iterable[str]) -> Column:

@@ -57,8 +57,10 @@ _ROLE = (
     r"(?:Data Scientist|Machine Learning Scientist|Machine Learning Engineer|"
     r"ML Scientist|ML Engineer|AI Engineer|Applied AI Engineer)"
 )
+# A match that starts behind a letter, or one sign further, would have started at that letter:
+# the look-behind spares those starts, and with them a pass over the rest of the line each.
 COMPANY_HIRING = (
-    rf"(?iu)([A-Z][A-Za-z0-9&.' -]+?){WS}+is hiring{WS}+(?:a |an )?"
+    rf"(?iu)(?<![A-Z][0-9&.' -]{{0,1}})([A-Z][A-Za-z0-9&.' -]+?){WS}+is hiring{WS}+(?:a |an )?"
     rf"((?:Senior/Staff{WS}+|Senior{WS}+|Staff{WS}+)?(?:Applied{WS}+)?{_ROLE})"
 )
 CONTRACT_SUBJECT = (
@@ -111,7 +113,7 @@ def labelled(text: Column, lowered: Column, label: str) -> Column:
 
 
 def first_url(text: Column) -> Column:
-    return F.rtrim(rx(text, f"({URL})"), F.lit(").,"))
+    return F.when(text.contains("://"), F.rtrim(rx(text, f"({URL})"), F.lit(").,")))
 
 
 def work_mode(lowered: Column) -> Column:
@@ -156,7 +158,9 @@ def raw_title(subject: Column, text: Column, lowered: Column) -> Column:
     vague = subject_low.contains("opportunity") & subject_low.contains("applied ai")
     return F.coalesce(
         labelled(text, lowered, "Role"),
-        F.when(lowered.contains("hiring "), rx(text, HIRING)),
+        F.when(
+            lowered.contains("hiring ") & has_any(lowered, ("we're h", "we are h")), rx(text, HIRING)
+        ),
         F.when(subject_low.contains("is hiring"), rx(subject, COMPANY_HIRING, 2)),
         F.when(lowered.contains("is hiring"), rx(text, COMPANY_HIRING, 2)),
         F.when(subject_low.contains("contract opportunity"), rx(subject, CONTRACT_SUBJECT, 2)),

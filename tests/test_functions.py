@@ -1,10 +1,13 @@
 """Scalar rules on single values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from leadsift.functions import dates, html, labels, money, names, text
 from leadsift.operators.commands import command_status
+from leadsift.operators.extract import COMPANY_HIRING
 from leadsift.operators.pages import decode_payload, quality_error
 from leadsift.operators.segments import split_segments
 
@@ -76,3 +79,21 @@ def test_valid_utf8_payloads_are_cast(spark):
     assert [r.text for r in found.orderBy("id").collect()] == ["café", "�a", "café", None, "x"]
     # What is cast reaches Python as null.
     assert "is_valid_utf8" in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_words_that_hold_another_word_are_not_searched():
+    assert text.shortest(("data scientist", "senior data scientist", "ai", "ai", "rag")) == ["data scientist", "ai", "rag"]
+    assert text.any_sql("x", ("hiring a", "hiring an")) == "contains(x, 'hiring a')"
+    assert text.shortest(("td", "")) == [""] and text.any_sql("x", ()) == "false"
+
+
+def test_hiring_companies_are_found_as_from_every_start(spark):
+    spared = r"(?<![A-Z][0-9&.' -]{0,1})"
+    assert spared in COMPANY_HIRING
+    pieces = ["Acme", "a", "ı", " ", "  ", "\n", "4", "-", "&", "K", "ſ", "é", ":", "is hiring", " is hiring a ML Engineer", "\tis hiring Senior AI Engineer"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(pieces, k=draw.randint(1, 9))) for _ in range(4000)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        *[text.rx(F.col("t"), p, g).alias(f"{n}{g}") for n, p in (("new", COMPANY_HIRING), ("old", COMPANY_HIRING.replace(spared, ""))) for g in (1, 2)]
+    )
+    assert found.where("NOT (new1 <=> old1 AND new2 <=> old2)").count() == 0 and found.where("new1 IS NOT NULL").count() > 300
