@@ -14,6 +14,9 @@ POSTED_ON = rf"(?iuU)\bposted{WS}+on{WS}+([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}
 _EXPIRY = (
     rf"(?iuU)\b(?:expiring|expires|deadline){WS}+(?:on{WS}+)?([A-Za-z]{{3,9}})\.?{WS}+([0-9]{{1,2}})\b"
 )
+# A text with a closing phrase holds one of these; few others do.
+_STEMS = ("expired", "no longer a", "has closed")
+_CLOSED = (*_STEMS, *(p for p in EXPIRED_PHRASES if not any(s in p for s in _STEMS)))
 # Months are accepted in full, as three letters, and as "sept".
 _MONTH_NUMBER = {
     key: str(n)
@@ -123,7 +126,7 @@ def posting_age(body: Column, received_at: Column, as_of: Column) -> Column:
 
 
 def card_posted_on(text: Column) -> Column:
-    return F.concat(F.lit("posted on "), rx(text, POSTED_ON))
+    return F.when(text.contains("/"), F.concat(F.lit("posted on "), rx(text, POSTED_ON)))
 
 
 def expiry_date(text: Column, as_of: Column) -> Column:
@@ -148,7 +151,7 @@ def is_expired(subject: Column, body: Column, as_of: Column) -> Column:
     def check(text: Column) -> Column:
         return let(
             F.lower(text),
-            lambda low: has_any(low, EXPIRED_PHRASES)
+            lambda low: (has_any(low, _CLOSED) & has_any(low, EXPIRED_PHRASES))
             | F.when(
                 has_any(low, ("expiring", "expires", "deadline")),
                 F.coalesce(expiry_date(text, as_of) < F.to_date(as_of), F.lit(False)),

@@ -36,10 +36,18 @@ CORE_TITLE = (
 )
 
 
-def _drop(text: Column, patterns: tuple[str, ...]) -> Column:
-    for pattern in patterns:
-        text = F.regexp_replace(text, pattern, "")
-    return text
+def _drop(text: Column, patterns: tuple[str, ...], marks: str, unmarked: tuple[int, ...]) -> Column:
+    """Patterns removed in turn; those not in `unmarked` match only texts with one of `marks`."""
+
+    def dropped(value: Column, some: tuple[str, ...]) -> Column:
+        for pattern in some:
+            value = F.regexp_replace(value, pattern, "")
+        return value
+
+    return let(
+        text,
+        lambda t: F.when(t.rlike(marks), dropped(t, patterns)).otherwise(dropped(t, tuple(patterns[i] for i in unmarked))),
+    )
 
 
 def fix_acronyms(text: Column) -> Column:
@@ -70,13 +78,13 @@ def normalize_company(name: Column) -> Column:
             F.when(plain, fix_acronyms(title_case(text))).otherwise(text),
         )
 
-    cleaned = F.rtrim(_drop(F.btrim(squeeze(name), F.lit(_EDGE)), COMPANY_TRIMS), F.lit("."))
+    cleaned = F.rtrim(_drop(F.btrim(squeeze(name), F.lit(_EDGE)), COMPANY_TRIMS, "[:-]", (0, 3)), F.lit("."))
     return F.when(name.isNull() | (name == ""), F.lit("Unknown")).otherwise(let(cleaned, spell))
 
 
 def normalize_title(title: Column) -> Column:
     """Consistent role title; NULL or '' gives 'Unknown role'."""
-    cleaned = F.rtrim(_drop(F.btrim(squeeze(title), F.lit(_EDGE)), TITLE_TRIMS), F.lit("."))
+    cleaned = F.rtrim(_drop(F.btrim(squeeze(title), F.lit(_EDGE)), TITLE_TRIMS, "[:,|(-]", (4,)), F.lit("."))
     cased = let(cleaned, lambda t: F.when(is_lower(t), title_case(t)).otherwise(t))
     return F.when(title.isNull() | (title == ""), F.lit("Unknown role")).otherwise(
         fix_acronyms(cased)

@@ -25,6 +25,8 @@ EOL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Printable ASCII first: the long runs of a URL then need one range test per character.
 URL = rf"https?://(?:[!-~]++|[^!-~\s{_SPACES}]++)++"
+# White space that ends no line.
+_INLINE = r" \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 
 
 def column_cache(build):
@@ -84,7 +86,8 @@ def rstrip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Collapse every white-space run to one space and trim."""
-    return F.btrim(F.regexp_replace(text, WS + "+", " "), F.lit(" "))
+    # A single space before a visible ASCII sign is left where it is.
+    return F.btrim(F.regexp_replace(text, rf"(?! ?[!-~]){WS}+", " "), F.lit(" "))
 
 
 def lines(text: Column) -> Column:
@@ -95,6 +98,18 @@ def nonblank_lines(text: Column) -> Column:
     return F.filter(F.transform(lines(text), strip), lambda x: x != "")
 
 
+def squeezed_lines(text: Column) -> Column:
+    """Non-blank lines, each trimmed and with one space for every run of white space.
+
+    Printable ASCII has no other white space than spaces and line feeds. The look-aheads tell most
+    signs of other texts by one range test.
+    """
+    spaced = F.regexp_replace(text, rf"(?![!-~\n])[{_INLINE}]++", " ")
+    cut = F.when(text.rlike(r"[^ -~\n]"), F.split(spaced, rf"(?![ -~])(?:{EOL})")).otherwise(F.split(text, "\n"))
+    trimmed = F.filter(F.transform(cut, lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
+    return F.transform(trimmed, lambda x: F.when(x.contains("  "), F.regexp_replace(x, "  +", " ")).otherwise(x))
+
+
 def paragraphs(text: Column) -> Column:
     """Collapse white space inside each line and drop blank lines."""
     return F.array_join(

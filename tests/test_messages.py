@@ -1,8 +1,13 @@
 """Message files to ranked postings, on own sample messages."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from leadsift.functions.text import squeezed_lines
 from leadsift.operators.digest import ranked_digest
+from leadsift.operators.extract import extract
 from leadsift.plans.intake import find_postings, find_postings_counted
 from leadsift.sources.message_files import read_message_files
 
@@ -63,3 +68,16 @@ def test_one_shuffle_cut_before_it(messages):
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("WindowGroupLimit") == 2
     assert "EvalPython" not in plan
+
+
+def test_message_facts_are_found_once_a_message(messages):
+    """Expiry and core subject lie below the explode, so that they are not found again for each posting."""
+    plan = extract(messages, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("no longer available") and plan.index("Generate explode") < plan.index("new job|message replied")
+
+
+def test_lines_are_trimmed_and_squeezed(spark):
+    texts = ["", "\n", " a  b \n\n c", "a\r\nb\rc\x0bd", "x\x85 y\u2028z\u3000\u3000w", "\ta\xa0 \tb\x1f\x1cc", "\u00e9  \u65e5\n\u2003k ", "one \n   \n two"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", squeezed_lines(F.col("t")).alias("lines")).collect()
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    assert {r.t: r.lines for r in rows} == {t: [" ".join(x.split()) for x in re.split(ends, t) if x.strip()] for t in texts}
